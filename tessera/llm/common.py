@@ -26,6 +26,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: what a lambda refers to is otherwise evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
