@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality_rules
+from . import chat, decontaminate, licenses, mixing, quality_rules, substring_dedup, suffix_dedup
 from .sql_text import WORDS, lower_ascii
 
 
@@ -55,6 +55,14 @@ SELECT doc_id, n_sentences, sentence_ids, concat_ws(',', {", ".join(said)}) AS l
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     x = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -129,6 +137,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_license_scan": op2_license_scan,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,

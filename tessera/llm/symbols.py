@@ -27,11 +27,19 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the next call up to a few million."""
+    have = _KEPT.get(int(base))
+    if have is None or len(have) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        have = np.multiply.accumulate(out)
+        if n <= 1 << 22:
+            _KEPT[int(base)] = have
+    return have[:n]
 
 
 def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -48,8 +56,11 @@ def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     n = len(symbols) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    start = np.arange(n)
-    return spans_hash(symbols, start, start + k)
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * powers(len(symbols)), out=total[1:])
+    out = total[k:] - total[:n]
+    out *= powers(n, _INVERSE)
+    return mix(out)
 
 
 def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
