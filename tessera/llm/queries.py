@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality_rules, substring_dedup, suffix_dedup
+from . import chat, decontaminate, jaccard, licenses, mixing, quality_rules, substring_dedup, suffix_dedup
 from .sql_text import WORDS, lower_ascii
 
 
@@ -55,6 +55,10 @@ SELECT doc_id, n_sentences, sentence_ids, concat_ws(',', {", ".join(said)}) AS l
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -137,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_license_scan": op2_license_scan,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
