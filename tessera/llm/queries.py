@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licenses, mixing, quality_rules, substring_dedup, suffix_dedup
+from . import chat, decontaminate, jaccard, licenses, mixing, quality_model, quality_rules, substring_dedup, suffix_dedup, toxicity
 from .sql_text import WORDS, lower_ascii
 
 
@@ -59,10 +59,18 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -142,7 +150,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_license_scan": op2_license_scan,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
