@@ -12,16 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, row_key, small
+from .common import cut, let, lower_ascii, row_key, small
 
 #: What stands between words: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+BETWEEN_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Tables made from the benchmark alone are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), lambda x: x != "")
+    """The words of a text, A-Z lower-cased.
+
+    lower() is far cheaper than translate(): it serves whole texts in ASCII,
+    and else tells which words have an upper-case letter at all.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = F.array_remove(F.split(F.lower(text), BETWEEN), "")
+    other = F.transform(F.array_remove(F.split(text, BETWEEN_CASED), ""), lambda w: F.when(F.lower(w) == w, w).otherwise(lower_ascii(w)))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(other)
+
+
+def n_terms(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_CASED), ""))
 
 
 def windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -46,15 +60,16 @@ def phrase_starts(docs: DataFrame, phrases: DataFrame, lists: int = 2) -> DataFr
     rows that have the term, counted over all of docs.
     """
     spots = phrases.select("window_id", F.posexplode("terms").alias("offset", "term"))
-    spots = spots.groupBy("window_id", "term").agg(F.min("offset").alias("offset"))
+    spots = cut(spots.groupBy("window_id", "term").agg(F.min("offset").alias("offset")))
     vocabulary = spots.select("term").distinct()
     frequency = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n_docs"))
-    ranked = spots.join(frequency, "term").withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("n_docs", "term"))).where(F.col("rank") <= lists)
-    # a phrase with a term that no row has can't occur: it has fewer spots found than terms
-    alive = phrases.select(F.col("window_id").alias("_w"), F.size(F.array_distinct("terms")).alias("n_terms"))
-    found = spots.join(frequency, "term").groupBy("window_id").agg(F.count("*").alias("n_found"))
-    alive = alive.join(found, F.col("_w") == F.col("window_id")).where("n_terms = n_found").select("window_id", F.least("n_terms", F.lit(lists)).alias("needed"))
-    ranked = ranked.join(alive, "window_id").select("window_id", "term", "offset", "rank", "needed")
+    # the texts are read once for this; what follows comes from the table
+    found = cut(spots.join(frequency, "term"))
+    # a phrase with a term that no row has can't occur: it has fewer terms found than it has
+    alive = found.groupBy("window_id").agg(F.count("*").alias("n")).join(spots.groupBy("window_id").agg(F.count("*").alias("m")), "window_id")
+    alive = alive.where("n = m").select("window_id", F.least("m", F.lit(lists)).cast("int").alias("needed"))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("n_docs", "term"))).where(F.col("rank") <= lists)
+    ranked = cut(ranked.join(alive, "window_id").select("window_id", "term", "offset", "rank", "needed"))
     hits = postings(docs, ranked.select("term").distinct()).join(small(ranked, BROADCAST_ROWS), "term")
     hits = hits.select("window_id", "key", (F.col("pos") - F.col("offset")).alias("start"), "needed", F.expr("shiftleft(1, rank - 1)").alias("bit"))
     agreed = hits.where("start >= 0").groupBy("window_id", "key", "start", "needed").agg(F.bit_or("bit").alias("bits"))
@@ -76,12 +91,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     made = ("n_words", "n_hit", "n_items", "item_ids", "contaminated", "hits", "_key", "_terms", "_found")
     docs = docs.select(*[c for c in docs.columns if c not in made], row_key(F.col("doc_id"), F.col("text")).alias("_key"))
     index = docs.select(F.col("_key").alias("key"), terms(F.col("text")).alias("terms"))
-    bench = windows(benchmark, window)
+    bench = cut(windows(benchmark, window))
     starts = phrase_starts(index, bench)
     found = starts.distinct().join(small(bench, BROADCAST_ROWS), "window_id")
     found = found.groupBy("key").agg(F.collect_list(F.struct("start", "terms", "items")).alias("_found")).withColumnRenamed("key", "_of")
     x = docs.join(found, F.col("_key") == F.col("_of"), "left").drop("_of", "_key")
-    x = x.withColumn("_terms", terms(F.col("text"))).withColumn("n_words", F.size("_terms").cast("long"))
+    # only texts in which a phrase may start are lower-cased
+    x = x.withColumn("_terms", F.when(F.col("_found").isNotNull(), terms(F.col("text"))))
+    x = x.withColumn("n_words", F.coalesce(F.when(F.col("_terms").isNotNull(), F.size("_terms")), n_terms(F.col("text"))).cast("long"))
     exact = let(F.col("_terms"), lambda t: F.filter("_found", lambda f: F.slice(t, f["start"] + 1, F.size(f["terms"])) == f["terms"]))
     x = x.withColumn("_found", F.coalesce(F.array_sort(F.transform(exact, lambda f: F.struct(f["start"].alias("a"), (f["start"] + F.size(f["terms"])).alias("b"), f["items"].alias("items")))), F.array().cast("array<struct<a:int,b:int,items:array<string>>>")))
     x = x.withColumn("hits", F.array_distinct(F.transform("_found", lambda f: F.struct(f["a"].alias("a"), f["b"].alias("b")))))
