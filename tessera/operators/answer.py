@@ -39,7 +39,7 @@ def verify(answers: DataFrame, text: Column, key: str, allowed: DataFrame) -> Da
     return x.withColumn("verdict", F.when(F.col("_bad").isNull(), "ok").otherwise("retry")).drop("_bad")
 
 
-def answer(questions: DataFrame, generate: Callable[[Column], Column], key: str, allowed: DataFrame) -> DataFrame:
+def answer(questions: DataFrame, generate: Callable[[Column], Column], key: str, allowed: DataFrame, abstained: str = ABSTAINED) -> DataFrame:
     """Adds answer and abstained to rows (key, prompt).
 
     generate makes a text of a prompt.  It is called again, with a warning, only
@@ -49,10 +49,10 @@ def answer(questions: DataFrame, generate: Callable[[Column], Column], key: str,
     good = first.where("verdict = 'ok'").drop("verdict")
     again = first.where("verdict <> 'ok'").drop("_a", "verdict")
     second = verify(again.withColumn("_a", generate(F.concat("prompt", F.lit(WARNING)))), F.col("_a"), key, allowed)
-    second = second.withColumn("_a", F.when(F.col("verdict") == "ok", F.col("_a")).otherwise(F.lit(ABSTAINED))).drop("verdict")
+    second = second.withColumn("_a", F.when(F.col("verdict") == "ok", F.col("_a")).otherwise(F.lit(abstained))).drop("verdict")
     x = good.unionByName(second)
-    out = X.strip(F.col("_a")).isin(SENTINEL, ABSTAINED)
-    return x.withColumn("answer", F.when(out, F.lit(ABSTAINED)).otherwise(F.col("_a"))).withColumn("abstained", out).drop("_a")
+    out = X.strip(F.col("_a")).isin(SENTINEL, abstained)
+    return x.withColumn("answer", F.when(out, F.lit(abstained)).otherwise(F.col("_a"))).withColumn("abstained", out).drop("_a")
 
 
 def last_turns(history: Column, n: int = LAST_TURNS) -> Column:

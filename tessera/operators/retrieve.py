@@ -104,4 +104,4 @@ def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, n: int, s
 
 
 def score_kind(reranked: Column, search: Column) -> Column:
-    return F.when(reranked, "rerank").when(search == "hybrid", "rrf").otherwise("distance")
+    return F.when(reranked, "rerank").when(search == "hibrida", "rrf").otherwise("distancia")
