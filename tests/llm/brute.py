@@ -49,3 +49,11 @@ def components(sets: dict[int, frozenset], num: int, den: int) -> dict[int, int]
                         x, y = sorted((root(a), root(b)))
                         up[y] = x
     return {d: root(d) for d in sets}
+
+
+def shingles(rows: list[tuple[int, str | None]], n: int) -> dict[int, frozenset]:
+    out = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        out[d] = frozenset(tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
+    return out
