@@ -32,8 +32,8 @@ PIECE_BYTES = 2_000_000
 #: Counters of the frequency sketch; the table of their sizes on a scale of one byte has this many bytes, at any input size.
 COUNTERS = 1 << 21
 RANGES = 64
-#: Bins of the hashed histogram that bounds the overlap of two suffixes.
-BINS = 16
+#: Bins of the hashed histogram that bounds what two sets can share.
+BINS = 128
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("items", pa.list_(pa.int64())), ("bins", pa.list_(pa.int32()))])
 
     def columns(sets: list[np.ndarray]) -> list:
-        return [[s.view(np.int64) for s in sets], [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BINS) for s in sets]]
+        return [[s.view(np.int64) for s in sets], [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS) for s in sets]]
 
     return docs.mapInArrow(_per_text(n, schema, columns), "doc_id long, node long, items array<bigint>, bins array<int>")
 
@@ -181,22 +181,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are alike enough on their whole sets; each pair once."""
     pairs = pairs.select("a", "b").distinct()
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x"), F.col("bins").alias("xb")), "a")
-    other = sets.select(F.col("node").alias("b"), F.col("items").alias("y"), F.col("bins").alias("yb"))
-    x = x.join(other, "b")
-    both = F.size("x") + F.size("y")
-    # suffix filter: what the bins differ by can't be shared
-    apart = F.aggregate(F.zip_with("xb", "yb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    x = x.where((both - apart) * den >= num * (both + apart))
-    shared = F.size(F.array_intersect("x", "y"))
-    return x.withColumn("n", shared).where(F.col("n") * den >= num * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    x = x.withColumn("n", F.size(F.array_intersect("x", "y")))
+    return x.where(F.col("n") * den >= num * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
 def _filters(num: int, den: int) -> Column:
-    """Length and positional filters of two postings."""
+    """Length, positional and suffix filters of two postings; the suffix filter is a bound on what the sets' histograms differ by."""
     need = _overlap(F.col("size"), F.col("size2"), num, den)
     rest = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
-    return (F.least("size", "size2") * den >= F.greatest("size", "size2") * num) & (rest >= need)
+    both = F.col("size") + F.col("size2")
+    apart = F.aggregate(F.zip_with("bins", "bins2", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+    return (F.least("size", "size2") * den >= F.greatest("size", "size2") * num) & (rest >= need) & ((both - apart) * den >= num * (both + apart))
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, pivots: tuple[int, ...] = (1, 8)) -> DataFrame:
@@ -231,32 +227,37 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, pivots:
 
 def _link_rounds(docs: DataFrame, leaders: DataFrame, postings: DataFrame, n: int, num: int, den: int, pivots: tuple[int, ...]) -> DataFrame:
     """Rows (node, component) for the nodes of postings (node, size, pos, shingle)."""
-    members = cut(leaders.join(postings.select("node").distinct(), "node", "left_semi"))
+    members = cut(leaders.join(postings.groupBy("node").agg(F.count("*").alias("n_shared")), "node"))
     wanted = docs.join(members.select("doc_id"), "doc_id", "left_semi")
-    sets = cut(_sets(wanted, n).join(members, ["node", "doc_id"], "left_semi").drop("doc_id"))
+    sets = cut(_sets(wanted, n).join(members.select("node", "doc_id"), ["node", "doc_id"], "left_semi").drop("doc_id"))
+    known = sets.select("node", "bins").join(members.select("node", "n_shared"), "node")
+    postings = cut(postings.join(known, "node"))
     labels = members.select("node", F.col("node").alias("component"))
+    fields = ("node", "size", "pos", "component", "bins")
+    head = F.struct(*[F.col(c).alias(f"{c}2") for c in fields])
+    pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     links = None
     for k in pivots:
         named = postings.join(labels, "node")
         # only shingles whose classes are not all in one component yet
         unsettled = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
         named = named.join(unsettled, "shingle")
-        head = F.struct(F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-        heads = named.groupBy("shingle").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(k), F.lit(i)).alias("h"), head.alias("p"))).alias(f"p{i}") for i in range(k)])
+        # the first pivot has the most shingles in common with others: what an edited copy was made from; the rest come by hash
+        order = [F.struct((-F.col("n_shared") if i == 0 else F.lit(0).cast("long")).alias("o"), F.xxhash64("node", F.lit(k), F.lit(i)).alias("h"), head.alias("p")) for i in range(k)]
+        heads = named.groupBy("shingle").agg(*[F.min(o).alias(f"p{i}") for i, o in enumerate(order)])
         heads = heads.select("shingle", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.p") for i in range(k)]))).alias("p")).select("shingle", "p.*")
         pairs = named.join(heads, "shingle").where("component <> component2").where(_filters(num, den))
-        found = cut(_verified(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), sets, num, den))
+        found = cut(_verified(pairs.select(*pair), sets, num, den))
         links = found if links is None else links.unionByName(found)
         labels = cut(components(members.select("node"), links))
     named = postings.join(labels, "node")
     sizes = named.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("n")).where("n > 1").select("shingle", F.col("x.component").alias("main"))
-    named = cut(named.join(main, "shingle"))
+    named = cut(named.join(main, "shingle").select("shingle", "main", *fields))
     # those outside the shingle's largest component meet all others; pairs inside it, most of them, are not made
-    other = named.where("component <> main").select("shingle", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+    other = named.where("component <> main").select("shingle", *[F.col(c).alias(f"{c}2") for c in fields])
     pairs = named.join(other, "shingle").where("component <> component2 and (component = main or node < node2)").where(_filters(num, den))
-    last = _verified(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), sets, num, den)
-    return components(members.select("node"), links.unionByName(last))
+    return components(members.select("node"), links.unionByName(_verified(pairs.select(*pair), sets, num, den)))
 
 
 def report(docs: DataFrame) -> DataFrame:
