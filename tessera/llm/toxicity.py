@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from . import symbols as S
 
 #: Training documents, at most, of either kind: those with the least hash of their doc_id.
-MAX_POSITIVE, MAX_UNLABELLED = 6_000, 14_000
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 10_000
 #: Words that the classifier knows, at most.
-MAX_WORDS = 4_000
+MAX_WORDS = 1_500
 #: Standard errors by which a feature must be more frequent in positives than in unlabelled text.
 LEAST_GAIN = 5.0
 STEMS = (4, 5, 6, 7, 8)
@@ -78,12 +78,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """
     if not positive or not unlabelled:
         return np.zeros(0, np.uint64), np.zeros(0), -4.0
-    word, count = np.unique(np.concatenate(positive), return_counts=True)
-    word, count = word[count >= 3], count[count >= 3]
-    other, n_other = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(other, word), len(other) - 1)
+    word, count = _frequent(positive)
+    other, n_other = _frequent([*unlabelled, word], 1)  # each of the positives' words is there, once more than counted
+    at = np.searchsorted(other, word)
     p = (count + 0.5) / (len(positive) + 1)
-    u = (np.where(other[at] == word, n_other[at], 0) + 0.5) / (len(unlabelled) + 1)
+    u = (n_other[at] - 0.5) / (len(unlabelled) + 1)
     gain = (p - u) / np.sqrt(np.maximum(u, p / 20) / len(positive))
     best = np.argsort(-gain, kind="stable")[:MAX_WORDS]
     best = best[(gain[best] >= LEAST_GAIN) & (p[best] >= 3 * u[best])]
@@ -109,18 +108,26 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return known, w.astype(float), b
 
 
-def _sets_of(docs: DataFrame, limit: int) -> list[np.ndarray]:
-    """Word sets, made on the executors, of at most `limit` rows (doc_id, text)."""
+def _sets_of(docs: DataFrame, limit: int, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """Word sets, made on the executors, of at most `limit` rows (doc_id, text); of known words only, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = word_sets(b.column("text").to_pylist())
+            sets = word_sets(b.column("text").to_pylist()) if b.num_rows else []
+            if known is not None:
+                sets = [s[known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s] if len(known) else s[:0] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary())], names=["s"])
 
     chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text")
     return [np.frombuffer(r["s"], np.uint64) for r in chosen.mapInArrow(run, "s binary").collect()]
 
 
+def _frequent(sets: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Features that `least` sets or more have, and how many do."""
+    word, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+    return word[count >= least], count[count >= least]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on the rows that are not held out; unlabelled rows are taken from all of them, labelled or not."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(labels)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -129,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     prior = float(np.clip(prior, 1e-3, 0.5))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null").where(~held_out(docs))
     positive = _sets_of(texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE)
-    unlabelled = _sets_of(texts, MAX_UNLABELLED)
+    # only what positives have matters in the others
+    unlabelled = _sets_of(texts, MAX_UNLABELLED, _frequent(positive)[0])
     return fit(positive, unlabelled, prior)
 
 
