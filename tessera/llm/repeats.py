@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -231,22 +232,39 @@ def _solve(kind: Kind, solver: Solver, shard_symbols: int):
     return solve
 
 
+def _blobs(column: pa.ChunkedArray, of: np.dtype | str) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a binary column's values in a row, and their number in each value (null: 0)."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = b"".join(v for v in values.to_pylist() if v)
+    return np.frombuffer(joined, of), sizes // np.dtype(of).itemsize
+
+
 def _mask(kind: Kind, counts: np.ndarray, docs: np.ndarray, right: pa.Table) -> np.ndarray:
     """True for each symbol of the batch that a repeated window covers."""
     base = np.cumsum(counts) - counts
     steps = np.zeros(int(counts.sum()) + 1, np.int64)
-    for doc, blob, windows in zip(right["doc"].to_pylist(), right["spots"].to_pylist(), right["windows"].to_pylist(), strict=True):
-        spots = np.frombuffer(blob, _SPOT)
-        if windows is None:
-            spots = spots[docs[spots["text"]] > doc]
-            first = base[spots["text"]] + spots["first"]
-            last = first + spots["n"] + (kind.window - 1)
-        else:
-            spots = spots[docs[spots["text"]] == doc]
-            first = ((base[spots["text"]] + spots["first"])[:, None] + np.frombuffer(windows, "<u4").astype(np.int64)).ravel()
-            last = first + kind.window
+
+    def cover(first: np.ndarray, last: np.ndarray) -> None:
         np.add.at(steps, first, 1)
         np.add.at(steps, last, -1)
+
+    whole = right.filter(pc.is_null(right["windows"]))
+    spots, n = _blobs(whole["spots"], _SPOT)
+    spots = spots[docs[spots["text"]] > np.repeat(whole["doc"].to_numpy(), n)]
+    first = base[spots["text"]] + spots["first"]
+    cover(first, first + spots["n"] + (kind.window - 1))
+    some = right.filter(pc.is_valid(right["windows"]))
+    spots, n = _blobs(some["spots"], _SPOT)
+    windows, m = _blobs(some["windows"], "<u4")
+    row = np.repeat(np.arange(len(n)), n)
+    own = docs[spots["text"]] == some["doc"].to_numpy()[row]
+    spots, row = spots[own], row[own]
+    # each spot with each of its row's windows
+    m, start = m[row], (np.cumsum(m) - m)[row]
+    at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start, m)
+    first = np.repeat(base[spots["text"]] + spots["first"], m) + windows[at]
+    cover(first, first + kind.window)
     return np.cumsum(steps[:-1]) > 0
 
 
