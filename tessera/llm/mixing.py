@@ -55,8 +55,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int,
 
     Null text: size 0, taken 0.  Null source: a source of its own, ranked last.
     Null doc_id: ordered as the text "null".  Repeated rows count each.  Empty
-    input: empty output.  Columns of the input named like an added one, and its
-    own columns otherwise, are kept; an added name wins.
+    input: empty output.  All columns stay but those named like an added one.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     size = n_words(docs["text"]) if size is None else size
