@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,26 +60,36 @@ RULES = (
 IMPLIED = {"BSD-2-Clause": "BSD-3-Clause"}
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and after . ! ? ; : before a blank; A-Z lower-cased; other than ASCII letters and digits one space."""
+def pieces(text: Column) -> Column:
+    """Normalised pieces: cut at line ends and after . ! ? ; : before a blank; A-Z lower-cased; other than ASCII letters and digits one space.  Blank lines are empty ones."""
     cut = F.split(F.coalesce(text, F.lit("")), r"\n|[.!?;:][\x20\x09-\x0D]+")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(lower_ascii(s), "[^0-9a-z]+", " "))), lambda s: s != "")
+    return F.transform(cut, lambda s: F.trim(F.regexp_replace(lower_ascii(s), "[^0-9a-z]+", " ")))
+
+
+def _whole(known: dict[str, str]) -> str:
+    """Pattern of a known sentence, the longest first, from one | to another; between its words a blank or a single |."""
+    by_length = sorted(known, key=lambda s: (-len(s), s))
+    return r"(?<=\|)(?:" + "|".join("[ |]".join(map(re.escape, s.split(" "))) for s in by_length) + r")(?=\|)"
 
 
 def scan_licenses(docs: DataFrame, sentences_of: dict[str, str] | None = None, rules: tuple | None = None) -> DataFrame:
     """Adds n_sentences, sentence_ids (in order, comma-joined) and licenses (sorted, comma-joined) to rows with a column text.
 
-    Only sentences that begin and end as known ones are recognised, whole;
-    unknown sentences between known ones don't break a rule's order.  A null or
-    empty text has none of either.  Works on one row at a time, without a
-    shuffle.  Every row stays; added names win over the input's.
+    A known sentence is recognised, whole, where it is one piece of the text or
+    several in a row: published texts are wrapped at any blank, and have stops
+    inside a sentence ("v. 2.0", "free software; you can").  A blank line ends
+    it.  n_sentences counts pieces.  Unknown sentences between known ones don't
+    break a rule's order.  A null or empty text has none of either.  Works on
+    one row at a time, without a shuffle.  Every row stays; added names win over
+    the input's.
     """
     known, rules = sentences_of or SENTENCES, rules or RULES
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    x = docs.drop("n_sentences", "sentence_ids", "licenses").withColumn("_s", sentences(F.col("text")))
-    x = x.withColumn("n_sentences", F.size("_s").cast("long"))
-    x = x.withColumn("_s", F.filter("_s", lambda s: s.isin(list(known))))
-    x = x.withColumn("sentence_ids", F.array_join(F.transform("_s", lambda s: F.element_at(ids, s)), ",")).drop("_s")
+    x = docs.drop("n_sentences", "sentence_ids", "licenses").withColumn("_s", pieces(F.col("text")))
+    x = x.withColumn("n_sentences", F.size(F.filter("_s", lambda s: s != "")).cast("long"))
+    joined = F.concat(F.lit("|"), F.array_join("_s", "|"), F.lit("|"))
+    x = x.withColumn("_s", F.regexp_extract_all(joined, F.lit(_whole(known)), F.lit(0)))
+    x = x.withColumn("sentence_ids", F.array_join(F.transform("_s", lambda s: F.element_at(ids, F.translate(s, "|", " "))), ",")).drop("_s")
     inside = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     found = {}
     for name, sequence in rules:

@@ -186,6 +186,69 @@ def test_licenses(spark, edge, edge_rows, nothing):
     assert got[3].n_sentences == 0 and got[2].sentence_ids == "cc-by-nc-4-notice,all-rights-reserved"
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licenses_as_published(spark):
+    gpl2, gpl3 = GPL.format(";", ";", 2), GPL.format(":", ",", 3)
+    want = {MIT: "MIT", BSD: "BSD-3-Clause", BSD.split("\n\n3.")[0]: "BSD-2-Clause", gpl2: "GPL-2.0-or-later", gpl3: "GPL-3.0-or-later", MPL: "MPL-2.0", APACHE: "Apache-2.0", APACHE.split("\n", 1)[1]: "Apache-2.0"}
+    shapes = {"lf": lambda t: t, "crlf": lambda t: t.replace("\n", "\r\n"), "comment": lambda t: "\n".join(" * " + x for x in t.split("\n")), "unwrapped": lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))}
+    rows = [(shape, f(t), name) for t, name in want.items() for shape, f in shapes.items()]
+    rows += [("cut", "Some text.\nAll rights\n\nreserved.", ""), ("more", "Not all rights reserved.", ""), ("once", "This project is\nlicensed under the MIT\nLicense.", "MIT")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "shape string, text string, want string")).collect()
+    assert [(r["shape"], r.want) for r in got if r.licenses != r.want] == []
+    assert got[-1].sentence_ids == "mit-notice"
+
+
 def test_chats(spark):
     schema = "conv_id long, turn long, role string, text string, pos string"
     a = [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", None)]
