@@ -10,6 +10,8 @@ from .common import BLANK, BLANKS, let, lower_ascii, row_key, words
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: A line in more documents of a host than this is frequent there, however large the host is.
+MAX_DOCS = 50
 
 
 def _covered(hashes: Column, width: int) -> Column:
@@ -57,8 +59,12 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(lower_ascii(line), "123456789", "000000000"), BLANK, " "))
 
 
-def line_removals(docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
-    """Rows (row key, n_cut): words in lines that more than max_percent % of the host's documents, and min_docs at least, have."""
+def _frequent(max_percent: int, max_docs: int) -> Column:
+    return (F.col("n_docs") * 100 > F.col("host_docs") * max_percent) | (F.col("n_docs") > max_docs)
+
+
+def line_removals(docs: DataFrame, min_docs: int, max_percent: int, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Rows (row key, n_cut): words in lines that more than max_percent % of the host's documents or more than max_docs, and min_docs at least, have."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     lines = F.transform(F.split(text, "\n"), lambda s: F.struct(normal_line(s).alias("s")))
@@ -67,15 +73,16 @@ def line_removals(docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame
     rows = x.groupBy("_key", "host", "_doc", "line").agg(F.sum("words").alias("words"))
     per_line = x.select("host", "line", "_doc").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     per_host = docs.select(row_key(F.col("source")).alias("host"), doc.alias("_doc")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = per_line.join(per_host, "host").where(F.col("n_docs") * 100 > F.col("host_docs") * max_percent).select("host", "line")
+    over = per_line.join(per_host, "host").where(_frequent(max_percent, max_docs)).select("host", "line")
     return rows.join(over, ["host", "line"]).groupBy("_key").agg(F.sum("words").alias("n_cut"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, min_left_percent: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:
     """Adds the base counts, n_cut (words in removed lines) and kept to documents (doc_id, text, source).
 
     A line counts by the distinct doc_ids of its host (source) that have it,
-    compared after normal_line().  A document of which less than
+    compared after normal_line().  It is removed if min_docs at least have it,
+    and more than max_percent % of the host's documents or more than max_docs.  A document of which less than
     min_left_percent % of the words stay after removal is rejected.  Base
     counts are of the text as it came.
 
@@ -85,7 +92,7 @@ def quality_rules(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, mi
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_cut", "kept", "_key", "_w", "_g", "_cut_key")
     docs = docs.select(*[c for c in docs.columns if c not in made], row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"))
-    cut = line_removals(docs, min_docs, max_percent).withColumnRenamed("_key", "_cut_key")
+    cut = line_removals(docs, min_docs, max_percent, max_docs).withColumnRenamed("_key", "_cut_key")
     counted = base(docs)
     return _verdict(counted, cut, min_left_percent)
 
@@ -96,18 +103,18 @@ def _verdict(counted: DataFrame, cut: DataFrame, min_left_percent: int) -> DataF
     return x.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("n_cut")) * 100 >= F.col("n_words") * min_left_percent))
 
 
-def quality_report(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, min_left_percent: int = 30) -> DataFrame:
+def quality_report(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:
     """quality_rules() without the texts: only doc_id and the counts go through the last join."""
     docs = docs.select("doc_id", "source", "text", row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"))
-    cut = line_removals(docs, min_docs, max_percent).withColumnRenamed("_key", "_cut_key")
+    cut = line_removals(docs, min_docs, max_percent, max_docs).withColumnRenamed("_key", "_cut_key")
     return _verdict(base(docs).drop("text", "source"), cut, min_left_percent)
 
 
-def without_frequent_lines(docs: DataFrame, min_docs: int = 20, max_percent: int = 10) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, max_docs: int = MAX_DOCS) -> DataFrame:
     """Rows (host, line) that quality_rules() removes, hashed; for reports."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.array_distinct(F.transform(F.split(text, "\n"), normal_line))
     x = docs.select(F.col("source"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_doc"), F.explode(lines).alias("line")).where(F.col("line") != "").distinct()
     counts = x.groupBy("source", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     hosts = docs.select(F.col("source").alias("_s"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_doc")).distinct().groupBy("_s").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("n_docs") * 100 > F.col("host_docs") * max_percent).select("source", "line", "n_docs", "host_docs")
+    return counts.join(hosts, F.col("source").eqNullSafe(F.col("_s"))).where(_frequent(max_percent, max_docs)).select("source", "line", "n_docs", "host_docs")

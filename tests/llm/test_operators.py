@@ -158,6 +158,15 @@ def test_frequent_lines_are_cut(spark):
     assert got[0].n_cut == 3 and got[0].kept and got[99].n_cut == 36 and not got[99].kept and got[100].n_cut == 0 and got[100].kept
 
 
+def test_frequent_lines_in_a_large_host(spark):
+    own = lambda d: " ".join(f"own{d}x{i}" for i in range(30)).translate({48 + i: 97 + i for i in range(10)})  # noqa: E731  digits would be one to the rule
+    rows = [(d, ("on sixty pages\n" if d < 60 else "on fifty pages\n" if d < 110 else "") + own(d), "h") for d in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_cut for r in quality_rules.quality_rules(docs).collect()}
+    assert got == {d: 3 if d < 60 else 0 for d in range(1500)}
+    assert [r["line"] for r in quality_rules.without_frequent_lines(docs).collect()] == ["on sixty pages"]
+
+
 def test_decontamination(spark, edge, edge_rows, nothing):
     bench = spark.createDataFrame([(1, " ".join(edge_rows[0][1].split()[20:45])), (2, None), (3, ""), (4, "one"), (None, "Ä c"), (5, "never there at all")], "item_id long, text string")
     assert decontaminate.decontaminate(nothing, bench).count() == 0
