@@ -59,6 +59,17 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(lower_ascii(line), "123456789", "000000000"), BLANK, " "))
 
 
+def _summed(lines: Column) -> Column:
+    """Array of (line, words) with the words of equal lines added together."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i)["line"].eqNullSafe(F.get(s, i - 1)["line"]))
+        return let(first, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i)["line"].alias("line"), (F.get(s, i)["words"] * (F.coalesce(F.get(at, j + 1), F.size(s)) - i)).alias("words"))))
+
+    # most texts repeat no line: the count of distinct ones tells so without the sort
+    return let(lines, lambda s: F.when(F.size(F.array_distinct(s["line"])) < F.size(s), let(F.array_sort(s), runs)).otherwise(s))
+
+
 def _frequent(max_percent: int, max_docs: int) -> Column:
     return (F.col("n_docs") * 100 > F.col("host_docs") * max_percent) | (F.col("n_docs") > max_docs)
 
@@ -69,8 +80,9 @@ def line_removals(docs: DataFrame, min_docs: int, max_percent: int, max_docs: in
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     lines = F.transform(F.split(text, "\n"), lambda s: F.struct(normal_line(s).alias("s")))
     lines = F.transform(F.filter(lines, lambda s: s["s"] != ""), lambda s: F.struct(F.xxhash64(s["s"]).alias("line"), F.size(F.split(s["s"], " ")).alias("words")))
-    x = docs.select(F.col("_key"), row_key(F.col("source")).alias("host"), doc.alias("_doc"), F.explode(lines).alias("_l")).select("_key", "host", "_doc", "_l.line", "_l.words")
-    rows = x.groupBy("_key", "host", "_doc", "line").agg(F.sum("words").alias("words"))
+    x = docs.select(F.col("_key"), row_key(F.col("source")).alias("host"), doc.alias("_doc"), F.explode(_summed(lines)).alias("_l")).select("_key", "host", "_doc", "_l.line", "_l.words")
+    # rows that repeat doc_id, source and text share a key; the words are those of one of them
+    rows = x.groupBy("_key", "host", "_doc", "line").agg(F.max("words").alias("words"))
     per_line = x.select("host", "line", "_doc").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     per_host = docs.select(row_key(F.col("source")).alias("host"), doc.alias("_doc")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     over = per_line.join(per_host, "host").where(_frequent(max_percent, max_docs)).select("host", "line")

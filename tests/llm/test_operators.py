@@ -167,6 +167,14 @@ def test_frequent_lines_in_a_large_host(spark):
     assert [r["line"] for r in quality_rules.without_frequent_lines(docs).collect()] == ["on sixty pages"]
 
 
+def test_frequent_lines_of_repeated_rows(spark):
+    own = lambda d: " ".join(f"own{d}x{i}" for i in range(30)).translate({48 + i: 97 + i for i in range(10)})  # noqa: E731  digits would be one to the rule
+    rows = [(d, f"menu item\n{own(d)}\nMenu Item", "h") for d in range(30)] + [(50, "menu item\n" * 5 + own(50), "h")]
+    docs = spark.createDataFrame([*rows, rows[0], rows[-1], rows[-1]], "doc_id long, text string, source string")
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == 34 and all(r.n_cut == (10 if r.doc_id == 50 else 4) and r.kept for r in got)
+
+
 def test_decontamination(spark, edge, edge_rows, nothing):
     bench = spark.createDataFrame([(1, " ".join(edge_rows[0][1].split()[20:45])), (2, None), (3, ""), (4, "one"), (None, "Ä c"), (5, "never there at all")], "item_id long, text string")
     assert decontaminate.decontaminate(nothing, bench).count() == 0
