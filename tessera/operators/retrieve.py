@@ -7,6 +7,8 @@ shuffle (a window group limit), so no task sees all of a query's rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,13 +32,23 @@ def dense_top(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """(query_id, id, distance, rank): by cosine distance, from queries (query_id, q) and rows (id, vector).
 
     Every row is compared with every query of the stated set: exact, and linear in the rows.
+    More than MAX_QUERIES queries are searched in blocks, each by a broadcast of its own;
+    all rows of a query_id are in one block.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
     q = queries.withColumn("_nq", F.sqrt(X.dot(F.col("q"), F.col("q"))))
     v = rows.withColumn("_nv", F.sqrt(X.dot(F.col("vector"), F.col("vector"))))
-    x = v.join(F.broadcast(q)).withColumn("distance", 1 - X.dot(F.col("q"), F.col("vector")) / (F.col("_nq") * F.col("_nv")))
-    return top(x.select("query_id", "id", "distance"), "query_id", "id", -F.col("distance"), n)
+
+    def search(block: DataFrame) -> DataFrame:
+        x = v.join(F.broadcast(block)).withColumn("distance", 1 - X.dot(F.col("q"), F.col("vector")) / (F.col("_nq") * F.col("_nv")))
+        return top(x.select("query_id", "id", "distance"), "query_id", "id", -F.col("distance"), n)
+
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return search(q)
+    # dealt by hash into blocks of half the number, so that none comes near it
+    n_blocks = -(-2 * queries.count() // MAX_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    found = [search(q.where(block == i)) for i in range(n_blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def to_parents(hits: DataFrame, parent: Column, n: int) -> DataFrame:

@@ -237,3 +237,14 @@ def test_hybrid_reads_only_what_it_needs(spark):
     plan = IX.of_corpus(docs, "en", "lang").select("doc_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [rng.random() for _ in range(4)]) for i in range(40)]
+    rows = spark.createDataFrame(vectors, "id long, vector array<double>")
+    queries = spark.createDataFrame(vectors[:10], "query_id long, q array<double>")
+    want = sorted(map(tuple, R.dense_top(queries, rows, 3).collect()))
+    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    got = sorted(map(tuple, R.dense_top(queries, rows, 3).collect()))
+    assert got == want and len(got) == 30
