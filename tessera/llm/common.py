@@ -42,19 +42,54 @@ def row_key(*columns: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir.  Only a session on one machine, as in tests, may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "made", None) or tempfile.mkdtemp(prefix="tessera-")
         shared_dir.made = found
     return found
 
 
+class Tables:
+    """Tables in the shared folder, each of which cuts the lineage.
+
+    Used in a with statement: what was written and not dropped before goes at
+    its end, but for tables that were written with keep=True, which hold a
+    result that is read later.  Drop a table only when all that is made from it
+    is written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """Writes df and reads it: the plan starts anew there."""
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self.paths[id(read)] = (read, path)
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.drop(*[t for t, _ in list(self.paths.values())])
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it: the plan starts anew there."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as a table that stays, and read again."""
+    return Tables(df.sparkSession).write(df, keep=True)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

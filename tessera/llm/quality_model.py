@@ -2,77 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANKS, cut, let, lower_ascii, row_key, words
+from . import symbols as S
+from .common import Tables, row_key
+from .counters import pieces
 
 #: Labelled rows that the document classifier is fitted on, at most: those with the least hash of their doc_id.
-MAX_LABELLED = 20_000
-FEATURES = ("log_words", "word_length", "symbols", "upper", "digits", "bangs", "bars", "distinct", "repeats", "blank_lines")
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """Adds _x, an array of FEATURES of the whole text, to rows with a column text; null is empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-
-    def without(characters: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, characters, ""))) / n_chars
-
-    def of_words(w: Column) -> Column:
-        n = F.greatest(F.size(w), F.lit(1)).cast("double")
-        # words that equal the one before
-        same = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: (a == b)), lambda x: F.coalesce(x, F.lit(False))))
-        return F.array(F.log1p(F.size(w).cast("double")), F.length(F.translate(text, BLANKS, "")) / n, F.size(F.array_distinct(w)) / F.sqrt(n * F.log1p(n)), same / n)
-
-    x = docs.withColumn("_w", let(F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w)), of_words))
-    w = F.col("_w")
-    lines = F.size(F.split(text, "\n"))
-    return x.withColumn(
-        "_x",
-        F.array(w[0], w[1], without("#*$%&|<>@=~^"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), without("0123456789"), without("!?"), without("|"), w[2], w[3], F.log1p(lines.cast("double"))),
-    ).drop("_w")
-
-
-def fit_documents(labelled: DataFrame, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centre, scale, weights with the intercept last) of a logistic regression on rows (doc_id, _x, quality).
-
-    Squares of the features are features, too.  Fitted by Newton steps on at most MAX_LABELLED rows.
+MAX_LABELLED = 10_000
+#: Words are hashed to so many features.
+BUCKETS = 1 << 10
+FEATURES = ("log_words", "word_length", "symbols", "upper", "digits", "bangs", "bars", "distinct", "repeats", "lines")
+_CLASSES = ("#*$%&<>@=~^", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", "|", "\n")
+#: The number of the class of each byte, from 1; 0 for none, 7 for the later bytes of a character.
+_CLASS = np.array([7 if 0x80 <= b < 0xC0 else next((i for i, c in enumerate(_CLASSES, 1) if chr(b) in c), 0) for b in range(256)], np.uint8)
+
+
+def evidence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(FEATURES of each whole text, whether each text has words of each bucket); null is empty.  Words are told apart by 44 bits."""
+    data, lengths = S.flat(texts)
+    kinds = _CLASS[data]
+    at = np.flatnonzero(kinds)
+    text = np.searchsorted(np.cumsum(lengths), at, side="right")
+    _, symbols, upper, digits, bangs, bars, lines, later = np.bincount(text * 8 + kinds[at], minlength=8 * len(texts)).reshape(-1, 8).T
+    n_chars = np.maximum(lengths - later, 1)
+    hashes, start, end, counts = S.words(S.lower_ascii(data), lengths)
+    of, n = np.repeat(np.arange(len(texts)), counts), np.maximum(counts, 1)
+    key = of.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20)
+    same = of[1:][key[1:] == key[:-1]]
+    distinct = np.unique(key) >> np.uint64(44)
+    x = np.column_stack([
+        np.log1p(counts),
+        (np.bincount(of, end - start, len(texts)) - later) / n,
+        (symbols + bars) / n_chars,
+        upper / n_chars,
+        digits / n_chars,
+        bangs / n_chars,
+        bars / n_chars,
+        np.bincount(distinct.astype(np.int64), minlength=len(texts)) / np.sqrt(n * np.log1p(n)),
+        np.bincount(same, minlength=len(texts)) / n,
+        np.log1p(lines),
+    ])
+    has = np.zeros((len(texts), BUCKETS), bool)
+    has[of, (hashes >> np.uint64(54)).astype(np.int64)] = True
+    return x, has
+
+
+def _inputs(x: np.ndarray, has: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The features, their squares, the words (of length 1 together) and a one."""
+    z = np.clip((x - centre) / scale, -6, 6)
+    word = has / np.sqrt(np.maximum(has.sum(1, keepdims=True), 1))
+    return np.hstack([z, z * z, word, np.ones((len(z), 1))])
+
+
+def fit_documents(labelled: DataFrame, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, scale, weights with the intercept last) of a logistic regression on rows (doc_id, text, quality), by Newton steps.
+
+    The rows are those of a bounded sample; of each, 80 bytes and BUCKETS bits
+    reach the driver.  Of rows with one doc_id the one with the least features counts.
     """
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("_x", "quality").collect()
-    raw = np.array([r["_x"] for r in sample], float).reshape(-1, len(FEATURES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in pieces(b):
+                x, has = evidence(part.column("text").to_pylist())
+                made = [pa.array(list(x), pa.list_(pa.float64())), pa.array([np.packbits(h).tobytes() for h in has], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made, part.column("quality")], names=["doc_id", "x", "has", "quality"])
+
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"))
+    rows = rows.mapInArrow(run, "doc_id long, x array<double>, has binary, quality int")
+    sample = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("x", "has", "quality")).alias("r")).select("doc_id", "r.*").collect())
+    raw = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
+    has = np.array([np.unpackbits(np.frombuffer(r["has"], np.uint8)) for r in sample], bool).reshape(-1, BUCKETS)
     y = np.array([r["quality"] for r in sample], float)
+    size = 2 * len(FEATURES) + BUCKETS + 1
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
-        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(2 * len(FEATURES)), np.log(p / (1 - p)))
+        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(size - 1), np.log(p / (1 - p)))
     centre, scale = raw.mean(0), raw.std(0) + 1e-9
-    x = _expand((raw - centre) / scale)
-    w = np.zeros(x.shape[1])
-    for _ in range(min(steps, 40)):
+    x = _inputs(raw, has, centre, scale).astype(np.float32)
+    w = np.zeros(size)
+    for _ in range(15):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
+        hessian = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x / len(y) + ridge * np.eye(size)
         step = np.linalg.solve(hessian, x.T @ (p - y) / len(y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-2:
             break
     return centre, scale, w
 
 
-def _expand(z: np.ndarray) -> np.ndarray:
-    z = np.clip(z, -6, 6)
-    return np.hstack([z, z * z, np.ones((len(z), 1))])
+def _logits(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Adds _logit, the classifier's log-odds, to rows (text, ...)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, scale, w = shared.value
+        for b in batches:
+            for part in pieces(b):
+                logit = _inputs(*evidence(part.column("text").to_pylist()), centre, scale) @ w
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(logit, -12, 12))], names=[*part.schema.names, "_logit"])
 
-def _score(centre: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> Column:
-    """The classifier's log-odds of _x."""
-    k = len(FEATURES)
-    total = F.lit(float(weights[-1]))
-    for i in range(k):
-        z = F.greatest(F.least((F.col("_x")[i] - F.lit(float(centre[i]))) / F.lit(float(scale[i])), F.lit(6.0)), F.lit(-6.0))
-        total = total + z * float(weights[i]) + z * z * float(weights[k + i])
-    return F.greatest(F.least(total, F.lit(12.0)), F.lit(-12.0))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_logit", T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, parent: Column) -> float:
@@ -90,55 +127,70 @@ def _strength(groups: DataFrame, parent: Column) -> float:
     return float(np.clip(1 / max(rho, 1e-4) - 1, 1.0, 10_000.0))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, with_text: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, with_text: bool = True, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Adds doc_score, path_score, score (0 to 1) and accepted (score >= threshold) to docs (doc_id, text, host, path, ...).
 
-    doc_score: the document classifier's probability.  The mean of it over all
-    documents of a host is shrunk to that of the corpus, and that of a path (a
-    host's part) to its host's: posterior means of beta priors whose strengths
-    come from how much groups differ.  score adds to the document's log-odds
-    those of its path over the corpus.
-
-    Null or empty text has the features of no words.  Null host or path: a group
-    of its own.  Labels without a document, with nulls, or repeated (the least
-    quality counts) do no harm; without labels of both kinds all documents have
-    one doc_score.  Repeated rows are scored alike.  Empty docs: empty output.
+    doc_score: the document classifier's probability, from counts of the whole
+    text and its hashed words.  The mean of it over the other documents of a
+    host is shrunk to that of the corpus, and that of a path (a host's part) to
+    its host's: posterior means of beta priors whose strengths come from how
+    much groups differ.  A document's own score is left out of both, as it
+    counts by itself: score adds to the document's log-odds those of its path
+    over the corpus.  At most max_labelled labelled rows are used to fit; scores
+    and posteriors cover all documents.
+
+    Null or empty text has the features of no words; a text of any length is
+    read whole.  Null host or path: a group of its own.  Labels without a
+    document, with nulls, or repeated (the least quality counts) do no harm;
+    without labels of both kinds all documents have one doc_score.  Repeated
+    rows are scored alike.  Empty docs: empty output.  All columns stay but
+    those named like an added one (and the text, if not with_text).
     """
-    made = ("doc_score", "path_score", "score", "accepted", "_x", "_w", "_logit", "_h", "_p")
+    made = ("doc_score", "path_score", "score", "accepted", "_logit", "_h", "_p")
     docs = docs.select(*[c for c in docs.columns if c not in made])
     keep = docs.columns if with_text else [c for c in docs.columns if c != "text"]
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    train = docs.select("doc_id", "text").join(marked, "doc_id")
-    model = fit_documents(features(train))
+    # chosen before any text moves; max_labelled rows of 12 bytes
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+    model = fit_documents(docs.select("doc_id", "text").join(chosen, "doc_id"))
+
     def scored(rows: DataFrame) -> DataFrame:
-        x = features(rows).withColumn("_logit", _score(*model)).drop("_x")
-        x = x.withColumn("doc_score", 1 / (1 + F.exp(-F.col("_logit"))))
+        x = _logits(rows, model).withColumn("doc_score", 1 / (1 + F.exp(-F.col("_logit"))))
         return x.withColumns({"_h": row_key(F.col(host)), "_p": row_key(F.col(host), F.col(path))})
 
-    rows = scored(docs)
-    if "text" in keep:
-        paths, mean = _posteriors(rows)
-    else:  # without the texts the scores are small enough to be written once and used for both
-        rows = cut(rows.drop("text"))
-        paths, mean = _posteriors(rows)
-    x = rows.join(F.broadcast(paths) if paths.count() <= 100_000 else paths, "_p", "left")
+    with Tables(docs.sparkSession) as tables:
+        if with_text:  # the texts are read twice rather than written
+            rows = scored(docs)
+        else:
+            rows = Tables(docs.sparkSession).write(scored(docs).drop("text"), keep=True)
+        paths = tables.write(rows.groupBy("_h", "_p").agg(F.count("*").alias("n"), F.sum("doc_score").alias("s")))
+        groups, mean, a, b = posteriors(paths)
+        groups = Tables(docs.sparkSession).write(groups, keep=True)
+    # a row of 48 bytes a path: counted, and joined by shuffle where there are very many
+    x = rows.join(F.broadcast(groups) if groups.count() <= 100_000 else groups, "_p", "left")
+    x = x.withColumn("path_score", left_out(F.col("doc_score"), mean, a, b))
     prior = F.log(F.col("path_score") / (1 - F.col("path_score"))) - float(np.log(mean / (1 - mean)))
     x = x.withColumn("score", 1 / (1 + F.exp(-(F.col("_logit") + prior))))
-    return x.withColumn("accepted", F.col("score") >= threshold).drop("_logit", "_h", "_p")
+    return x.withColumn("accepted", F.col("score") >= threshold).select(*keep, "doc_score", "path_score", "score", "accepted")
 
 
-def _posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Rows (_p, path_score), and the corpus mean; one row a path leaves each task."""
-    paths = cut(scored.groupBy("_h", "_p").agg(F.count("*").alias("n"), F.sum("doc_score").alias("s")).withColumn("mean", F.col("s") / F.col("n")))
-    hosts = paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("mean", F.col("s") / F.col("n"))
-    row = hosts.select(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+def posteriors(paths: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """From rows (_h, _p, n, s), the number and sum of scores of each path: rows (_p, _n, _s, _hn, _hs) with those of its host, the corpus mean, and the strengths of hosts and paths."""
+    hosts = paths.groupBy("_h").agg(F.sum("n").alias("_hn"), F.sum("s").alias("_hs"))
+    row = hosts.select(F.sum("_hn").alias("n"), F.sum("_hs").alias("s")).first()
     mean = float(np.clip((row["s"] or 0.0) / max(row["n"] or 0, 1), 1e-3, 1 - 1e-3))
-    a = _strength(hosts, F.lit(mean))
-    hosts = hosts.select("_h", ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_score"))
-    paths = paths.join(hosts, "_h")
-    b = _strength(paths, F.col("host_score"))
-    shrunk = (F.col("s") + b * F.col("host_score")) / (F.col("n") + b)
-    return paths.select("_p", F.greatest(F.least(shrunk, F.lit(1 - 1e-3)), F.lit(1e-3)).alias("path_score")), mean
+    a = _strength(hosts.select(F.col("_hn").alias("n"), (F.col("_hs") / F.col("_hn")).alias("mean")), F.lit(mean))
+    x = paths.join(hosts, "_h")
+    host = (F.col("_hs") + a * mean) / (F.col("_hn") + a)
+    b = _strength(x.select("n", (F.col("s") / F.col("n")).alias("mean"), host.alias("host_score")), F.col("host_score"))
+    return x.select("_p", F.col("n").alias("_n"), F.col("s").alias("_s"), "_hn", "_hs"), mean, a, b
+
+
+def left_out(own: Column, mean: float, a: float, b: float) -> Column:
+    """The posterior mean of a row's path without the row's own score: (path + b * host) with host = (host + a * corpus)."""
+    host = (F.col("_hs") - own + a * mean) / (F.col("_hn") - 1 + a)
+    shrunk = (F.col("_s") - own + b * host) / (F.col("_n") - 1 + b)
+    return F.greatest(F.least(shrunk, F.lit(1 - 1e-3)), F.lit(1e-3))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

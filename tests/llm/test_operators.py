@@ -293,12 +293,41 @@ def test_quality_model(spark, edge, edge_rows, nothing):
     assert all(r.accepted for r in rows if r.doc_id in (0, 1)) and not any(r.accepted for r in rows if r.doc_id == 10)
 
 
-def test_sparse_paths_are_shrunk(spark):
-    rows = [(i, "a", "x", 0.9) for i in range(500)] + [(i, "a", "y", 0.1) for i in range(500)] + [(0, "b", "x", 0.1)]
-    df = spark.createDataFrame(rows, "doc_id long, _h string, _p string, doc_score double").select("doc_id", F.hash("_h").alias("_h"), F.concat_ws("/", "_h", "_p").alias("_p"), "doc_score")
-    paths, mean = quality_model._posteriors(df)
-    got = {r._p: r.path_score for r in paths.collect()}
-    assert abs(mean - 0.5) < 0.01 and got["a/x"] > 0.8 and got["a/y"] < 0.2 and 0.25 < got["b/x"] < 0.5
+def test_posteriors_against_a_plain_version(spark):
+    """Posterior means of paths and hosts, each without the document's own score."""
+    rng = random.Random(6)
+    rows = [(i, "a", "x", 0.9 - rng.random() / 20) for i in range(300)] + [(i, "a", "y", 0.1) for i in range(200)] + [(0, "b", "x", 0.1), (1, None, None, 0.4), (2, None, "y", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, doc_score double").withColumns({"_h": quality_model.row_key(F.col("host")), "_p": quality_model.row_key(F.col("host"), F.col("path"))})
+    groups, mean, a, b = quality_model.posteriors(df.groupBy("_h", "_p").agg(F.count("*").alias("n"), F.sum("doc_score").alias("s")))
+    got = df.join(groups, "_p").withColumn("path_score", quality_model.left_out(F.col("doc_score"), mean, a, b)).collect()
+
+    def strength(parts):  # parts: (size, mean, mean of what stands above)
+        parts = [x for x in parts if x[0] > 1]
+        between, within, weighted = (sum(f(*x) for x in parts) for f in (lambda n, m, p: n * (m - p) ** 2, lambda n, m, p: p * (1 - p), lambda n, m, p: n * p * (1 - p)))
+        return min(max(1 / max((between - within) / max(weighted - within, 1e-9), 1e-4) - 1, 1.0), 10_000.0)
+
+    def group(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[3])
+        return out
+
+    hosts, paths = group(lambda r: r[1]), group(lambda r: (r[1], r[2]))
+    assert mean == pytest.approx(sum(r[3] for r in rows) / len(rows))
+    assert a == pytest.approx(strength([(len(x), sum(x) / len(x), mean) for x in hosts.values()]))
+    assert b == pytest.approx(strength([(len(x), sum(x) / len(x), (sum(hosts[h]) + a * mean) / (len(hosts[h]) + a)) for (h, _), x in paths.items()]))
+    for r in got:
+        h, p = hosts[r.host], paths[r.host, r.path]
+        host = (sum(h) - r.doc_score + a * mean) / (len(h) - 1 + a)
+        assert r.path_score == pytest.approx(min(max((sum(p) - r.doc_score + b * host) / (len(p) - 1 + b), 1e-3), 1 - 1e-3))
+    by = {(r.host, r.path): r.path_score for r in got}
+    assert by["a", "x"] > 0.8 and by["a", "y"] < 0.2 and 0.25 < by["b", "x"] < 0.6
+
+
+def test_evidence_counts():
+    x, has = quality_model.evidence(["Ab ab 1 | é!\n# ab ab", None, ""])
+    assert x[0].tolist() == pytest.approx([np.log1p(8), 13 / 8, 2 / 20, 1 / 20, 1 / 20, 1 / 20, 1 / 20, 5 / np.sqrt(8 * np.log1p(8)), 2 / 8, np.log1p(1)])
+    assert not x[1].any() and (x[1] == x[2]).all() and has.sum(1).tolist()[1:] == [0, 0] and 1 <= has[0].sum() <= 5
 
 
 def test_toxicity(spark, edge, edge_rows, nothing):
