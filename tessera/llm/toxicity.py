@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier by non-negative positive-unlabelled learning, in numpy.
 
-Confirmed toxic documents are the positives; all other training text counts as
+Confirmed toxic documents are the positives; other training text counts as
 unlabelled, whatever its label says.  The risk of unlabelled text as negative,
 less the class prior's share that positives have in it, may not fall below
 zero; where its estimate does, the step goes the other way.
@@ -13,155 +13,179 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import symbols as S
-
-#: Training documents, at most, of either kind: those with the least hash of their doc_id.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 10_000
-#: Words that the classifier knows, at most.
-MAX_WORDS = 1_500
-#: Standard errors by which a feature must be more frequent in positives than in unlabelled text.
-LEAST_GAIN = 5.0
+from .counters import counted, pieces
+
+#: Labelled rows that the classifier is fitted on, at most, of either kind: those with the least hash of their doc_id.
+MAX_POSITIVE, MAX_UNLABELLED = 6_000, 14_000
+#: Words and their beginnings are hashed to so many features.
+SPACE_BITS = 18
+#: Standard errors by which a feature must be more frequent in positives than in all text to get a weight.
+LEAST_GAIN = 2.5
 STEMS = (4, 5, 6, 7, 8)
-PIECE_BYTES = 1_000_000
 #: Other than ASCII letters, digits and what lies beyond ASCII becomes a blank; A-Z a-z.
 _PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
-def word_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The distinct hashed words of each text, and their beginnings of STEMS bytes: inflected words share those."""
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature), sorted and each once: the hashed words of each whole text, and their beginnings of STEMS bytes, which inflected words share."""
     data, lengths = S.flat(texts)
     data = _PLAIN[data]
     hashes, start, end, counts = S.words(data, lengths)
-    text = np.repeat(np.arange(len(texts)), counts)
-    found, of = [hashes], [text]
+    text = np.repeat(np.arange(len(texts)), counts).astype(np.uint64) << np.uint64(SPACE_BITS)
+    keys, shift = [text | hashes >> np.uint64(64 - SPACE_BITS)], np.uint64(64 - SPACE_BITS)
+    symbols = S.byte_symbols(data)
     for k in STEMS:
         long = end - start > k
-        found.append(S.mix(S.spans_hash(S.byte_symbols(data), start[long], start[long] + k) + np.uint64(k)))
-        of.append(text[long])
-    feature, text = np.concatenate(found), np.concatenate(of)
-    order = np.lexsort((feature, text))
-    feature, text = feature[order], text[order]
-    new = np.ones(len(feature), bool)
-    new[1:] = (feature[1:] != feature[:-1]) | (text[1:] != text[:-1])
-    feature, text = feature[new], text[new]
-    return np.split(feature, np.searchsorted(text, np.arange(1, len(texts))))
+        keys.append(text[long] | S.mix(S.spans_hash(symbols, start[long], start[long] + k) + np.uint64(k)) >> shift)
+    key = np.unique(np.concatenate(keys))
+    return (key >> np.uint64(SPACE_BITS)).astype(np.int64), (key & np.uint64((1 << SPACE_BITS) - 1)).astype(np.int64)
+
+
+def held_out(docs: DataFrame):
+    """Column: crc32(doc_id as text) mod 3 is 1; false for a null doc_id."""
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_row(doc_id: object) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 != 1
 
 
-def held_out(docs: DataFrame):
-    """Column: crc32(doc_id as text) mod 3 is 1; false for a null doc_id."""
-    return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 1, F.lit(False))
+class Rows:
+    """Sets of known features of several texts, as (row, column) pairs."""
 
+    def __init__(self, sets: list[np.ndarray], width: int):
+        self.n, self.width = len(sets), width
+        self.row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.column = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
 
-def _matrix(sets: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the known words in the sets."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    word = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-    hit = known[at] == word if len(known) else np.zeros(len(word), bool)
-    return row[hit], at[hit]
+    def logits(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.n) + b
 
+    def pulled(self, g: np.ndarray) -> np.ndarray:
+        """The gradient of weights and intercept if that of the logits is g."""
+        return np.append(np.bincount(self.column, g[self.row], self.width), g.sum())
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
-    """(known features, weights, intercept) from word sets.
 
-    Known are features that several positives have, and far more of them than
-    of unlabelled text, the furthest first.
+def risks(s_p: np.ndarray, s_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positive, negative) parts of the risk of scores of positives and of unlabelled text, under log loss.
+
+    The negative part is unlabelled text as negative, less the positives in it;
+    the risk is positive + max(0, negative).
     """
-    if not positive or not unlabelled:
-        return np.zeros(0, np.uint64), np.zeros(0), -4.0
-    word, count = _frequent(positive)
-    other, n_other = _frequent([*unlabelled, word], 1)  # each of the positives' words is there, once more than counted
-    at = np.searchsorted(other, word)
-    p = (count + 0.5) / (len(positive) + 1)
-    u = (n_other[at] - 0.5) / (len(unlabelled) + 1)
-    gain = (p - u) / np.sqrt(np.maximum(u, p / 20) / len(positive))
-    best = np.argsort(-gain, kind="stable")[:MAX_WORDS]
-    best = best[(gain[best] >= LEAST_GAIN) & (p[best] >= 3 * u[best])]
-    known = np.sort(word[best])
-    pr, pc_ = _matrix(positive, known)
-    ur, uc = _matrix(unlabelled, known)
-    x_p, x_u = np.zeros((len(positive), len(known)), np.float32), np.zeros((len(unlabelled), len(known)), np.float32)
-    x_p[pr, pc_] = 1
-    x_u[ur, uc] = 1
-    w, b = np.zeros(len(known), np.float32), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    top = 1 - 1e-6
+    as_negative = -np.log1p(-np.minimum(s_u, top)).mean() + prior * np.log1p(-np.minimum(s_p, top)).mean()
+    return float(-prior * np.log(np.maximum(s_p, 1e-6)).mean()), float(as_negative)
+
+
+def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 100) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of least non-negative risk, by Adam's steps."""
+    w, b = np.zeros(positive.width), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        s_p, s_u = 1 / (1 + np.exp(-(x_p @ w + b))), 1 / (1 + np.exp(-(x_u @ w + b)))
-        # unlabelled text as negative, less the positives in it
-        negative = np.mean(-np.log1p(-np.minimum(s_u, 1 - 1e-6))) + prior * np.mean(np.log1p(-np.minimum(s_p, 1 - 1e-6)))
-        d_neg = np.append(x_u.T @ s_u / len(s_u) - prior * (x_p.T @ s_p) / len(s_p), s_u.mean() - prior * s_p.mean())
-        d_pos = prior * np.append(x_p.T @ (s_p - 1) / len(s_p), (s_p - 1).mean())
-        grad = d_pos + d_neg if negative >= 0 else -d_neg
+        s_p, s_u = (1 / (1 + np.exp(-np.clip(x.logits(w, b), -30, 30))) for x in (positive, unlabelled))
+        d_pos = positive.pulled(prior * (s_p - 1) / positive.n)
+        d_neg = unlabelled.pulled(s_u / unlabelled.n) - positive.pulled(prior * s_p / positive.n)
+        grad = d_pos + d_neg if risks(s_p, s_u, prior)[1] >= 0 else -d_neg
         grad[:-1] += 1e-4 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
-    return known, w.astype(float), b
+        w, b = w - step[:-1], b - float(step[-1])
+    return w, b
 
 
-def _sets_of(docs: DataFrame, limit: int, known: np.ndarray | None = None) -> list[np.ndarray]:
-    """Word sets, made on the executors, of at most `limit` rows (doc_id, text); of known words only, if given."""
+def _known(positive: np.ndarray, n_positive: int, everything: np.ndarray, n_all: int) -> np.ndarray:
+    """The features that three positives or more have, and far more of them than of all text."""
+    p, u = (positive + 0.5) / (n_positive + 1), (everything + 0.5) / (n_all + 1)
+    gain = (p - u) / np.sqrt(np.maximum(u, p / 20) / max(n_positive, 1))
+    return np.flatnonzero((positive >= 3) & (gain >= LEAST_GAIN) & (p >= 2 * u))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = word_sets(b.column("text").to_pylist()) if b.num_rows else []
-            if known is not None:
-                sets = [s[known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s] if len(known) else s[:0] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary())], names=["s"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text")
-    return [np.frombuffer(r["s"], np.uint64) for r in chosen.mapInArrow(run, "s binary").collect()]
+def _places(part: pa.RecordBatch) -> np.ndarray:
+    """Two counters for each feature: of all texts, and of those that are positive; the last two count the texts."""
+    text, feature = features(part.column("text").to_pylist())
+    marked = part.column("positive").to_numpy(zero_copy_only=False)
+    size = 1 << SPACE_BITS
+    return np.concatenate([feature, feature[marked[text]] + size, np.full(len(marked), 2 * size), np.full(int(marked.sum()), 2 * size + 1)])
 
 
-def _frequent(sets: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Features that `least` sets or more have, and how many do."""
-    word, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-    return word[count >= least], count[count >= least]
+def _sets(sample: DataFrame, known: np.ndarray) -> list[tuple[bool, np.ndarray]]:
+    """(positive, known features) of each doc_id of the sample (doc_id, text, positive); of rows with one doc_id, the least set."""
+    number = np.full(1 << SPACE_BITS, -1)
+    number[known] = np.arange(len(known))
 
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on the rows that are not held out; unlabelled rows are taken from all of them, labelled or not."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(labels)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = known.select(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in pieces(b):
+                text, feature = features(part.column("text").to_pylist())
+                column = number[feature]
+                text, column = text[column >= 0], column[column >= 0].astype("<u4")
+                sets = np.split(column, np.searchsorted(text, np.arange(1, part.num_rows)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "positive", "s"])
+
+    rows = sample.select("doc_id", "text", "positive").mapInArrow(run, T.StructType([sample.schema["doc_id"], sample.schema["positive"], T.StructField("s", T.BinaryType())]))
+    found = rows.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.min("s").alias("s")).collect()
+    return [(r["positive"], np.frombuffer(r["s"], "<u4")) for r in sorted(found)]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
+    """(known features, their weights, intercept), fitted on rows that are not held out.
+
+    Positives are labelled rows that are toxic; unlabelled are labelled rows
+    whose labels are not looked at: at most max_positive and max_unlabelled of
+    them, by hash of doc_id, chosen before any text moves.  Which features get a
+    weight comes from counts over all of docs that are not held out.  The class
+    prior, toxic labels by labels, corrects the risk; the score is then the
+    probability under even odds, as a text's site may be of any kind.
+
+    Null doc_id or null label: not used to fit.  Null text: empty.  A doc_id
+    labelled more than once is toxic if one of its labels is.  Labels without a
+    document and repeated rows do no harm; texts of any length are read whole.
+    No positives, no labels or no docs: no features, one low score for all.
+    """
+    marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(labels)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = marked.select(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     prior = (counts["k"] + 1) / (counts["n"] + 2) if counts["n"] else 0.05
     prior = float(np.clip(prior, 1e-3, 0.5))
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null").where(~held_out(docs))
-    positive = _sets_of(texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE)
-    # only what positives have matters in the others
-    unlabelled = _sets_of(texts, MAX_UNLABELLED, _frequent(positive)[0])
-    return fit(positive, unlabelled, prior)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    toxic = marked.where("toxic = 1").orderBy(*order).limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
+    chosen = toxic.unionByName(marked.orderBy(*order).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive")))
+    texts = docs.select("doc_id", "text").where("doc_id is not null").where(~held_out(docs))
+    # both sides of max_positive + max_unlabelled rows of 9 bytes at most
+    size = 1 << SPACE_BITS
+    total = counted(texts.join(F.broadcast(toxic), "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive")), 2 * size + 2, _places)
+    known = _known(total[size : 2 * size], int(total[-1]), total[:size], int(total[-2]))
+    sets = _sets(texts.join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("positive").alias("positive"))), "doc_id"), known)
+    first = {True: [s for p, s in sets if p], False: [s for _, s in sets]}
+    if not len(known) or not first[True]:
+        return np.zeros(0, np.int64), np.zeros(0), -4.0
+    w, b = fit(Rows(first[True], len(known)), Rows(first[False], len(known)), prior)
+    return known, w, b + float(np.log((1 - prior) / prior))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.7) -> DataFrame:
-    """Adds held_out, score (0 to 1) and predicted (1 from threshold on) to docs (doc_id, text, ...); null text is empty.
+    """Adds held_out, score (0 to 1) and predicted (1 from threshold on) to docs (doc_id, text, ...).
 
-    Works on one row at a time: repeated rows score alike, all columns stay but those named like an added one.
+    Works on one row at a time: repeated rows score alike, null text is empty,
+    texts of any length are read whole, a null doc_id is not held out, empty
+    docs give an empty output.  All columns stay but those named like an added one.
     """
     docs = docs.drop("held_out", "score", "predicted")
     docs = docs.withColumn("held_out", held_out(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w, b = shared.value
+        known, weights, b = shared.value
+        w = np.zeros(1 << SPACE_BITS)
+        w[known] = weights
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for i, j in zip(edges, edges[1:], strict=False):
-                part = batch.slice(i, j - i)
-                if not part.num_rows:
-                    continue
-                row, at = _matrix(word_sets(part.column("text").to_pylist()), known)
-                logit = np.bincount(row, w[at], part.num_rows) + b if len(known) else np.full(part.num_rows, b)
+            for part in pieces(batch):
+                text, feature = features(part.column("text").to_pylist())
+                logit = np.bincount(text, w[feature], part.num_rows) + b
                 value = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 

@@ -345,3 +345,40 @@ def test_toxicity(spark, edge, edge_rows, nothing):
     assert len(rows) == len(edge_rows) and all(r.predicted == 0 for r in rows) and all(0 <= float(r["score"]) <= 1 for r in rows)
     assert toxicity.score(nothing, model).count() == 0
     assert toxicity.score(edge, toxicity.train(docs, labels.limit(0))).where("predicted = 1").count() == 0
+
+
+def test_risk_estimator_against_a_plain_version():
+    import math
+
+    rng, prior = random.Random(3), 0.2
+    width = 9
+    sets = [[[c for c in range(width) if rng.random() < 0.3] for _ in range(n)] for n in (7, 12)]
+    positive, unlabelled = (toxicity.Rows([np.array(s, int) for s in x], width) for x in sets)
+    w, b = np.array([rng.gauss(0, 1) for _ in range(width)]), 0.3
+
+    def plain(w, b):
+        def mean(rows, loss):
+            return sum(loss(1 / (1 + math.exp(-(b + sum(w[c] for c in s))))) for s in rows) / len(rows)
+
+        return prior * mean(sets[0], lambda p: -math.log(p)), mean(sets[1], lambda p: -math.log(1 - p)) - prior * mean(sets[0], lambda p: -math.log(1 - p))
+
+    scores = [1 / (1 + np.exp(-x.logits(w, b))) for x in (positive, unlabelled)]
+    assert toxicity.risks(*scores, prior) == pytest.approx(plain(w, b))
+    # gradients of both parts against differences
+    d_pos = positive.pulled(prior * (scores[0] - 1) / positive.n)
+    d_neg = unlabelled.pulled(scores[1] / unlabelled.n) - positive.pulled(prior * scores[0] / positive.n)
+    for k in range(width + 1):
+        at = lambda e: plain(w + e * (np.arange(width) == k), b + e * (k == width))  # noqa: B023, E731
+        up, down = at(1e-5), at(-1e-5)
+        assert [(x - y) / 2e-5 for x, y in zip(up, down, strict=True)] == pytest.approx([d_pos[k], d_neg[k]], abs=1e-6)
+    # fitted weights lower the risk that is clipped at zero
+    risk = lambda w, b: (lambda p, n: p + max(0.0, n))(*plain(w, b))
+    assert risk(*toxicity.fit(positive, unlabelled, prior)) < min(risk(np.zeros(width), np.log(prior / (1 - prior))), risk(w, b))
+
+
+def test_bounds_of_the_toxicity_sample(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join([f"w{rng.randint(0, 300)}" for _ in range(40)] + ["grobian"] * (i % 4 == 0))) for i in range(1600)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS toxic")
+    rows = toxicity.score(docs, toxicity.train(docs, labels, max_positive=100, max_unlabelled=300)).collect()
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in rows) >= 1590
