@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocked_running, n_words
+from .common import blocked_running, n_words, row_key
 
 #: A source's documents are dealt out to so many blocks (hex digits of the seeded order), so that none holds a large source.
 BLOCK_DIGITS = 3
@@ -44,27 +44,32 @@ def targets(sizes: DataFrame, weights: Sequence[int], budget: tuple[int, int], m
     return x.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: int = 42, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: int = 42, size: Column | None = None, text_key: Column | None = None) -> DataFrame:
     """Adds size, source_size, target and taken to each row of docs (doc_id, text, source, ...).
 
     taken is the number of words the mix takes of the row, repeats counted: a
     multiple of its size.  The rows of a source stand in a seeded order, by MD5
-    of the seed and doc_id; those whose middle word comes before the fraction
-    of the source's words are repeated once more, so a source's sum differs from
-    its target by less than one document.  Equal input gives equal output.
+    of the seed, doc_id and MD5 of the text, then by the hash of all columns;
+    those whose middle word comes before the fraction of the source's words are
+    repeated once more, so a source's sum differs from its target by less than
+    one document.  Equal input gives equal output, however it is partitioned:
+    rows that still tie are equal in all columns.  size and text_key stand for
+    the text where docs come without it.
 
     Null text: size 0, taken 0.  Null source: a source of its own, ranked last.
-    Null doc_id: ordered as the text "null".  Repeated rows count each.  Empty
-    input: empty output.  All columns stay but those named like an added one.
+    Null doc_id: ordered as the text "null", spread by their texts.  Repeated
+    rows count each.  A text of any length is one row, taken whole or not.
+    Empty input: empty output.  All columns stay but those named like an added one.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     size = n_words(docs["text"]) if size is None else size
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))))
-    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), docs["source"].alias("_source"), size.alias("_size"), order.alias("_order"))
+    text_key = F.md5(F.coalesce(docs["text"], F.lit(""))) if text_key is None else text_key
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), text_key))
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), docs["source"].alias("_source"), size.alias("_size"), order.alias("_order"), row_key(*[docs[c] for c in kept]).alias("_tie"))
     rows = rows.withColumn("_block", F.substring("_order", 1, BLOCK_DIGITS))
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     goal = targets(sizes, weights, budget, max_epochs).withColumnRenamed("source", "_of")
-    rows = blocked_running(rows, ["_source"], "_block", [F.col("_order"), F.col("_size")], {"_upto": F.col("_size")})
+    rows = blocked_running(rows, ["_source"], "_block", [F.col("_order"), F.col("_size"), F.col("_tie")], {"_upto": F.col("_size")})
     rows = rows.join(F.broadcast(goal) if goal.count() <= 100_000 else goal, F.col("_source").eqNullSafe(F.col("_of")))
     epochs = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     whole = F.floor(epochs)

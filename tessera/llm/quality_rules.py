@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANKS, let, lower_ascii, row_key, words
+from .common import BLANK, BLANKS, let, lower_ascii, row_key, small, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: A line in more documents of a host than this is frequent there, however large the host is.
 MAX_DOCS = 50
+#: A line in fewer documents of a host than this is not frequent, however small the host is.
+MIN_DOCS = 20
 
 
 def _covered(hashes: Column, width: int) -> Column:
@@ -86,10 +88,11 @@ def line_removals(docs: DataFrame, min_docs: int, max_percent: int, max_docs: in
     per_line = x.select("host", "line", "_doc").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     per_host = docs.select(row_key(F.col("source")).alias("host"), doc.alias("_doc")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     over = per_line.join(per_host, "host").where(_frequent(max_percent, max_docs)).select("host", "line")
-    return rows.join(over, ["host", "line"]).groupBy("_key").agg(F.sum("words").alias("n_cut"))
+    # the keys are the most frequent ones by nature: 16 bytes a row, counted, and joined by shuffle only beyond
+    return rows.join(small(over, 1_000_000), ["host", "line"]).groupBy("_key").agg(F.sum("words").alias("n_cut"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:
     """Adds the base counts, n_cut (words in removed lines) and kept to documents (doc_id, text, source).
 
     A line counts by the distinct doc_ids of its host (source) that have it,
@@ -100,7 +103,8 @@ def quality_rules(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, mi
 
     Null text is empty: no words, base_failed.  Null source: a host of its own.
     Null doc_ids count as one document.  Repeated rows: each is judged, alike;
-    they are one document in the counts.  Empty input: empty output.
+    they are one document in the counts.  Texts of any length are read whole.
+    Empty input: empty output.  All columns stay but those named like an added one.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_cut", "kept", "_key", "_w", "_g", "_cut_key")
     docs = docs.select(*[c for c in docs.columns if c not in made], row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"))
@@ -115,14 +119,14 @@ def _verdict(counted: DataFrame, cut: DataFrame, min_left_percent: int) -> DataF
     return x.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("n_cut")) * 100 >= F.col("n_words") * min_left_percent))
 
 
-def quality_report(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:
+def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:
     """quality_rules() without the texts: only doc_id and the counts go through the last join."""
     docs = docs.select("doc_id", "source", "text", row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"))
     cut = line_removals(docs, min_docs, max_percent, max_docs).withColumnRenamed("_key", "_cut_key")
     return _verdict(base(docs).drop("text", "source"), cut, min_left_percent)
 
 
-def without_frequent_lines(docs: DataFrame, min_docs: int = 20, max_percent: int = 10, max_docs: int = MAX_DOCS) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = 10, max_docs: int = MAX_DOCS) -> DataFrame:
     """Rows (host, line) that quality_rules() removes, hashed; for reports."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.array_distinct(F.transform(F.split(text, "\n"), normal_line))

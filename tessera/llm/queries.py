@@ -97,7 +97,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_report(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_cut", "kept")
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"), min_docs=5).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_cut", "kept")
 
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -111,7 +111,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw W
 norm AS (SELECT doc_id, host, trim(regexp_replace(translate({lower_ascii('line')}, '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line FROM raw),
 per_line AS (SELECT host, line, count(DISTINCT doc_id) AS n FROM norm WHERE line <> '' GROUP BY host, line),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
-over AS (SELECT host, line FROM per_line JOIN hosts USING (host) WHERE n >= 20 AND n * 100 > docs * 10),
+over AS (SELECT host, line FROM per_line JOIN hosts USING (host) WHERE n >= 5 AND (n * 100 > docs * 10 OR n > 50)),
 cut AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n_cut FROM norm JOIN over USING (host, line) GROUP BY doc_id),
 x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(text, {_BLANKS}, ''))::BIGINT AS word_chars,
         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
@@ -124,12 +124,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("n"))
-    return mixing.mix(sized, size=sized["n"]).select("doc_id", "size", "source_size", "target", "taken")
+    sized = docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    return mixing.mix(sized, size=sized["n"], text_key=sized["key"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS ord FROM documents),
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][r % 3 + 1] AS weight, 2 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
 l AS (SELECT *, sum(weight) OVER () AS weights, coalesce(sum(cap) OVER o, 0) AS caps_before, coalesce(sum(weight) OVER o, 0) AS weights_before

@@ -150,6 +150,17 @@ def test_mixing(spark, edge, edge_rows, nothing):
     assert all(x <= 2 * n + 1e-9 for x, n in targets.values())
 
 
+def test_mixing_of_ties_does_not_depend_on_partitions(spark):
+    rows = [(None, f"t{i} b c", "s", str(i)) for i in range(30)] + [(7, "same text", "s", str(i)) for i in range(9)] + [(1, "x " * 300, "u", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    want = None
+    for n in (1, 3, 7):
+        got = sorted((str(r.doc_id), r.text, r.taken) for r in mixing.mix(df.repartition(n)).collect())
+        assert want is None or got == want
+        want = got
+    assert 0 < sum(t > 0 for _, _, t in want) <= len(rows)
+
+
 def test_targets_are_water_filled(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 90)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes, (5, 2, 1), (3, 2), 2).collect()}
