@@ -11,28 +11,33 @@ bringing every text to every other:
 2. The anchors of each batch go, sorted and packed into five bytes each, to
    buckets by hash; a bucket answers each batch with one bit for each anchor:
    whether another batch has it too.
-3. Runs whose anchor is in one text only are done.  Of the others each batch
-   sends (anchor, hash of the run's symbols) once, with the least document.
-4. Of equal runs, all but those of the least document are repeated.  Where an
-   anchor has runs that differ, the symbols of each different run go, once, to
-   a shard of reference strings, dealt out by anchor, and a solver finds the
-   windows that they share.  An anchor with very many different runs is dealt
-   out further, window by window, by the windows' hashes.
+3. Of the runs whose anchor another text has, each batch sends one record for
+   all that are equal, with the least document.  A bucket answers with one bit
+   for each record, whether a smaller document holds the same run; and it asks
+   for one copy of each different run that may share windows with another:
+   every window holds the symbols to the left or those to the right of its
+   anchor, so a run of which neither side is found with another run of the
+   anchor is done.
+4. These reference strings meet in shards, whole anchors to a shard, where a
+   solver finds the windows that also stand in a string of a smaller document.
+   An anchor with very many different runs is dealt out further, window by
+   window, by the windows' hashes.
 5. The spans come back to the batch that holds the text.
 
-One exchange deals out the texts and is reused by steps 1, 3, 4 and 5.
+One exchange deals out the texts and is reused by steps 1, 3, 4 and 5; what
+goes between batches and buckets are a few packed rows for each batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +48,8 @@ from .common import row_key
 Solver = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 
 BATCH_BYTES = 2_000_000
-MAX_BUCKETS = 65_536
+#: Batches for each bucket; a bucket's keys are in proportion to that, at any input size.
+PER_BUCKET = 16
 #: Symbols of one piece of a batch; pieces overlap by window - 1 symbols.
 PIECE = 1_000_000
 #: An anchor with more different runs than this is dealt out window by window.
@@ -67,18 +73,34 @@ class Kind:
         hashes, start, end, counts = S.words(data, lengths)
         return data, hashes, counts, start, end
 
-    def runs(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(anchor, text number, first window, last window, hash of the symbols) of each run; windows by their first symbol in its text."""
+    def runs(self, symbols: np.ndarray, counts: np.ndarray) -> Runs:
+        """All runs of a batch; places are those of its flat symbols."""
         values = S.byte_symbols(symbols) if self.name == "bytes" else symbols
         ends, found = np.cumsum(counts), []
+        side = -(-(self.window - self.gram) // 2)
         for at in range(0, max(1, len(values) - self.window + 1), PIECE):
             upto = min(len(values), at + PIECE + self.window - 1)
             piece = np.diff(np.clip(np.concatenate([[0], ends]), at, upto))
-            anchor, text, first, last = S.runs(values[at:upto], piece, self.window, self.gram)
-            found.append((anchor, text, first + at, last + at, S.spans_hash(values[at:upto], first, last + self.window)))
-        anchor, text, first, last, content = (np.concatenate(x) for x in zip(*found, strict=True))
-        base = (ends - counts)[text]
-        return anchor, text, first - base, last - base, content
+            anchor, text, first, last, place = S.runs(values[at:upto], piece, self.window, self.gram)
+            content = S.spans_hash(values[at:upto], first, last + self.window)
+            # a side that the text or the piece does not have is no window's either: first and last tell how far windows reach
+            left, right = place - side, place + self.gram + side
+            has_left, has_right = first <= left, last + self.window >= right
+            sides = [np.where(has, S.spans_hash(values[at:upto], np.where(has, a, 0), np.where(has, b, 0)) >> np.uint64(49) | np.uint64(1 << 15), 0).astype(np.uint16) for has, a, b in ((has_left, left, place + self.gram), (has_right, place, right))]
+            found.append((anchor, text, first + at, last + at, content >> np.uint64(16), *sides))
+        return Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+class Runs(NamedTuple):
+    anchor: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    #: 48 bits of the hash of the run's symbols.
+    content: np.ndarray
+    #: 15 bits of the hash of the anchor and the symbols to its left, or to its right, that half of the rest of a window has; 0 if no window of the run has them.
+    left: np.ndarray
+    right: np.ndarray
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -92,187 +114,268 @@ def _texts(table: pa.Table) -> tuple[int, np.ndarray, list[str | None]]:
     return table["batch"][0].as_py(), table["doc"].to_numpy(), table["text"].to_pylist()
 
 
-def _split(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (bucket, 40 bits) of anchors, sorted."""
-    key = np.unique(anchor >> np.uint64(7))
-    bucket, rest = (key >> np.uint64(40)) % np.uint64(buckets), key & np.uint64((1 << 40) - 1)
-    order = np.lexsort((rest, bucket))
-    bucket, rest = bucket[order].astype(np.int64), rest[order]
-    new = np.ones(len(rest), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1])
-    return bucket[new], rest[new]
+def _own(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket, and 40 bits within it, as one number."""
+    key = anchor >> np.uint64(7)
+    return ((key >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40) | key & np.uint64((1 << 40) - 1)
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    raw = np.zeros((len(blob) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return raw.view("<u8").ravel()
+
+
+def _by_bucket(own: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted numbers of _own()."""
+    bucket = (own >> np.uint64(40)).astype(np.int64)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(own)], strict=False))
+
+
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _schema(fields: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in fields.split(", "))])
+
+
+_ASKED, _BITS = "bucket long, batch long, blob binary", "bucket long, batch long, bits binary"
+_SETTLED, _FOUND = "batch long, bucket long, bits binary, asked binary", "batch long, bucket long, bits binary, places binary, sizes binary, windows binary"
+_STRINGS = "bucket long, batch long, asked binary, symbols binary"
+#: What a bucket asks a batch for: where a run lies there, its windows, its document, and its anchor (or 0: window by window).
+_ASK = np.dtype([("place", "<u4"), ("n", "u1"), ("doc", "<i8"), ("anchor", "<u8")])
 
 
 def _send_anchors(kind: Kind, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         batch, _, texts = _texts(table)
         _, symbols, counts, _, _ = kind.read(texts)
-        bucket, rest = _split(kind.runs(symbols, counts)[0], buckets)
-        packed = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        blobs = [packed[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True)]
-        return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "batch": pa.array(np.full(len(at), batch), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        own = np.unique(_own(kind.runs(symbols, counts).anchor, buckets))
+        return _table(_schema(_ASKED), [(k, batch, _packed(own[a:b], 5)) for k, a, b in _by_bucket(own)])
 
     return send
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    parts = []
-    for blob in table["blob"].to_pylist():
-        raw = np.zeros((len(blob) // 5, 8), np.uint8)
-        raw[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-        parts.append(raw.view("<u8").ravel())
-    values, counts = np.unique(np.concatenate(parts), return_counts=True)
-    shared = values[counts > 1]
+    parts = [_unpacked(blob, 5) for blob in table["blob"].to_pylist()]
+    values = np.sort(np.concatenate(parts))
+    shared = np.unique(values[1:][values[1:] == values[:-1]])
     bits = [np.packbits(np.isin(p, shared, assume_unique=True)).tobytes() for p in parts]
-    return pa.table({"bucket": table["bucket"], "batch": table["batch"], "bits": pa.array(bits, pa.binary())})
-
-
-_RUNS = "anchor long, content long, batch int, doc long, spots binary"
-_SPOT = np.dtype([("text", "<u4"), ("first", "<u4"), ("n", "<u4")])
-
-
-def _send_runs(kind: Kind, buckets: int):
+    return _table(_schema(_BITS), list(zip(table["bucket"].to_pylist(), table["batch"].to_pylist(), bits, strict=True)))
+
+
+class Records(NamedTuple):
+    """The different runs of a batch whose anchor another text has, too, by (own, content): of each, its spots as runs of the batch, by document."""
+
+    own: np.ndarray
+    head: np.ndarray
+    size: np.ndarray
+    spots: np.ndarray
+
+
+def _records(runs: Runs, docs: np.ndarray, buckets: int, right: pa.Table) -> Records:
+    own, doc = _own(runs.anchor, buckets), docs[runs.text]
+    keys = np.unique(own)
+    shared = np.zeros(len(keys), bool)
+    answers = {k: b for k, b, more in zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), right["step"].to_pylist(), strict=True) if more == 1}
+    for k, a, b in _by_bucket(keys):
+        shared[a:b] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=b - a).astype(bool)
+    order = np.lexsort((doc, own))
+    a, d = own[order], doc[order]
+    group = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    size = np.diff(np.append(group, len(a)))
+    # in another batch, or in two documents of this one
+    keep = np.zeros(len(own), bool)
+    keep[order] = np.repeat(shared | (d[group] != d[group + size - 1]), size) if len(a) else False
+    at = np.flatnonzero(keep)
+    at = at[np.lexsort((at, doc[at], runs.content[at], own[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (own[at][1:] != own[at][:-1]) | (runs.content[at][1:] != runs.content[at][:-1])
+    heads = np.flatnonzero(new)
+    return Records(own[at[heads]], at[heads], np.diff(np.append(heads, len(at))), at)
+
+
+def _send_records(kind: Kind, buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"anchor": [], "content": [], "batch": [], "doc": [], "spots": []}, schema=pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("batch", pa.int32()), ("doc", pa.int64()), ("spots", pa.binary())]))
+            return _schema(_ASKED).empty_table()
         batch, docs, texts = _texts(left)
         _, symbols, counts, _, _ = kind.read(texts)
-        anchor, text, first, last, content = kind.runs(symbols, counts)
-        bucket, rest = _split(anchor, buckets)
-        shared = np.zeros(len(rest), bool)
-        answers = dict(zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), strict=True))
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True):
-            shared[a:b] = np.unpackbits(np.frombuffer(answers[int(bucket[a])], np.uint8), count=b - a).astype(bool)
-        wanted = np.sort((bucket[shared].astype(np.uint64) << np.uint64(40)) | rest[shared])
-        key = anchor >> np.uint64(7)
-        own = (((key >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40)) | (key & np.uint64((1 << 40) - 1))
-        keep = np.zeros(len(anchor), bool)
-        if len(wanted):
-            keep = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
-        # or in two documents of this batch
-        doc = docs[text]
-        order = np.lexsort((doc, anchor))
-        a, d = anchor[order], doc[order]
-        group = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-        size = np.diff(np.append(group, len(a)))
-        keep[order] |= np.repeat(d[group] != d[group + size - 1], size) if len(a) else False
-        at = np.flatnonzero(keep)
-        at = at[np.lexsort((doc[at], content[at], anchor[at]))]
-        new = np.ones(len(at), bool)
-        new[1:] = (anchor[at][1:] != anchor[at][:-1]) | (content[at][1:] != content[at][:-1])
-        heads = np.flatnonzero(new)
-        spots = np.empty(len(at), _SPOT)
-        spots["text"], spots["first"], spots["n"] = text[at], first[at], last[at] - first[at] + 1
-        blobs = [spots[i:j].tobytes() for i, j in zip(heads, np.append(heads[1:], len(at)), strict=True)]
-        head = at[heads]
-        return pa.table({"anchor": anchor[head].view(np.int64), "content": content[head].view(np.int64), "batch": pa.array(np.full(len(head), batch), pa.int32()), "doc": doc[head].astype(np.int64), "spots": pa.array(blobs, pa.binary())})
+        runs = kind.runs(symbols, counts)
+        r = _records(runs, docs, buckets, right)
+        doc, n = docs[runs.text[r.head]], (runs.last - runs.first + 1)[r.head]
+        # nearly all documents' numbers fit into five bytes
+        width = 5 if not len(doc) or (doc.min() >= 0 and doc.max() < 1 << 40) else 8
+        rows = []
+        for k, a, b in _by_bucket(r.own):
+            h = r.head[a:b]
+            columns = [(r.own[a:b], 5), (runs.content[h], 6), (doc[a:b].view(np.uint64), width), (runs.left[h], 2), (runs.right[h], 2), (runs.first[h], 4), (n[a:b], 1)]
+            rows.append((k, batch, bytes([width]) + b"".join(_packed(c, w) for c, w in columns)))
+        return _table(_schema(_ASKED), rows)
 
     return send
 
 
-_STRINGS = "shard long, batch int, doc long, spots binary, at int, string binary"
-
-
-def _send_strings(kind: Kind):
-    width = 1 if kind.name == "bytes" else 8
-
+def _settle(table: pa.Table) -> pa.Table:
+    """Answers each batch of a bucket, and asks for one copy, that of the least document, of each run that may share windows with another."""
+    batches, parts = table["batch"].to_pylist(), []
+    for blob in table["blob"].to_pylist():
+        widths = (5, 6, blob[0], 2, 2, 4, 1)
+        n, at, columns = (len(blob) - 1) // sum(widths), 1, []
+        for w in widths:
+            columns.append(_unpacked(blob[at : at + n * w], w))
+            at += n * w
+        parts.append(columns)
+    anchor, content, doc, left, right, place, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc = doc.view(np.int64)
+    sizes = np.array([len(p[0]) for p in parts])
+    source = np.repeat(np.arange(len(parts)), sizes)
+    order = np.lexsort((source, doc, content, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
+    head, number = order[np.flatnonzero(new)], np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    smaller = doc > doc[head][number]
+    ask = np.zeros(len(head), bool)
+    for side in (left[head], right[head]):
+        _, at, times = np.unique(anchor[head] << np.uint64(16) | side, return_inverse=True, return_counts=True)
+        ask |= (times[at] > 1) & (side > 0)
+    # one copy of each, or of each batch where one document's rows are in several
+    asked = np.flatnonzero(ask[number] & ~smaller)
+    _, at, times = np.unique(anchor[asked], return_inverse=True, return_counts=True)
+    asks = np.zeros(len(asked), _ASK)
+    asks["place"], asks["n"], asks["doc"] = place[asked], n[asked], doc[asked]
+    # never 0, which stands for window by window
+    asks["anchor"] = np.where(times[at] <= MAX_RUNS, anchor[asked] + np.uint64(1), 0)
+    by = np.argsort(source[asked], kind="stable")
+    cut = np.searchsorted(source[asked][by], np.arange(1, len(parts)))
+    ends = np.cumsum(sizes)
+    rows = [(b, k, np.packbits(smaller[e - s : e]).tobytes(), asks[x].tobytes()) for b, k, s, e, x in zip(batches, table["bucket"].to_pylist(), sizes, ends, np.split(by, cut), strict=True)]
+    return _table(_schema(_SETTLED), rows)
+
+
+def _send_strings(kind: Kind, buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k.split()[0]: [] for k in _STRINGS.split(", ")}
+        rows = []
         if left.num_rows and right.num_rows:
-            batch, docs, texts = _texts(left)
-            _, symbols, counts, _, _ = kind.read(texts)
-            base = np.cumsum(counts) - counts
-            for anchor, doc, blob, n_runs in zip(right["anchor"].to_pylist(), right["doc"].to_pylist(), right["spots"].to_pylist(), right["n_runs"].to_pylist(), strict=True):
-                spots = np.frombuffer(blob, _SPOT)
-                spots = spots[docs[spots["text"]] == doc]
-                a = int(base[spots["text"][0]]) + int(spots["first"][0])
-                n, spots = int(spots["n"][0]), spots.tobytes()
-                if n_runs <= MAX_RUNS:
-                    pieces = [(anchor, 0, symbols[a : a + n + kind.window - 1])]
-                else:
-                    values = S.byte_symbols(symbols[a : a + n + kind.window - 1]) if width == 1 else symbols[a : a + n + kind.window - 1]
-                    pieces = [(int(np.int64(h)) ^ anchor, i, symbols[a + i : a + i + kind.window]) for i, h in enumerate(S.grams(values, kind.window).view(np.int64))]
-                for shard, at, string in pieces:
-                    for k, v in (("shard", shard), ("batch", batch), ("doc", doc), ("spots", spots), ("at", at), ("string", string.tobytes())):
-                        out[k].append(v)
-        return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("batch", pa.int32()), ("doc", pa.int64()), ("spots", pa.binary()), ("at", pa.int32()), ("string", pa.binary())]))
+            batch, _, texts = _texts(left)
+            _, symbols, _, _, _ = kind.read(texts)
+            loose = []
+            for bucket, blob in zip(right["bucket"].to_pylist(), right["asked"].to_pylist(), strict=True):
+                asks = np.frombuffer(blob, _ASK)
+                whole = asks[asks["anchor"] > 0]
+                loose.append(asks[asks["anchor"] == 0])
+                if len(whole):
+                    rows.append((bucket, batch, whole.tobytes(), _cut(symbols, whole, kind.window).tobytes()))
+            each = np.concatenate(loose)
+            if len(each):
+                row = np.repeat(np.arange(len(each)), each["n"])
+                one = each[row]
+                one["place"] += (np.arange(len(row)) - np.repeat(np.cumsum(each["n"], dtype=np.int64) - each["n"], each["n"])).astype("<u4")
+                one["n"] = 1
+                values = S.byte_symbols(symbols) if kind.name == "bytes" else symbols
+                one["anchor"] = S.spans_hash(values, one["place"].astype(np.int64), one["place"].astype(np.int64) + kind.window) | np.uint64(1)
+                bucket = (one["anchor"] >> np.uint64(8)) % np.uint64(buckets)
+                for k in np.unique(bucket).tolist():
+                    some = one[bucket == k]
+                    rows.append((k, batch, some.tobytes(), _cut(symbols, some, kind.window).tobytes()))
+        return _table(_schema(_STRINGS), rows)
 
     return send
 
 
-def _solve(kind: Kind, solver: Solver, shard_symbols: int):
-    """Streams strings in the order of their shard keys; whole keys are solved together until a shard is full."""
-    of = np.uint8 if kind.name == "bytes" else np.uint64
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        strings = [np.frombuffer(r[5], of) for r in rows]
-        found = solver(strings, np.array([r[2] for r in rows], np.int64), kind.window)
-        some = [(r, f) for r, f in zip(rows, found, strict=True) if len(f)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[1] for r, _ in some], pa.int32()), pa.array([r[2] for r, _ in some], pa.int64()), pa.array([r[3] for r, _ in some], pa.binary()), pa.array([(f + r[4]).astype("<u4").tobytes() for r, f in some], pa.binary())],
-            names=["batch", "doc", "spots", "windows"],
-        )
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held, key = 0, None
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if row[0] != key and held >= shard_symbols:
-                    yield flush(rows)
-                    rows, held = [], 0
-                key = row[0]
-                rows.append(row)
-                held += len(row[5]) // np.dtype(of).itemsize
-        if rows:
-            yield flush(rows)
+def _cut(symbols: np.ndarray, asks: np.ndarray, window: int) -> np.ndarray:
+    """The symbols of the asked runs in a row."""
+    n = asks["n"].astype(np.int64) + window - 1
+    return symbols[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(asks["place"].astype(np.int64), n)]
 
-    return solve
 
+def _solve(kind: Kind, solver: Solver, shard_symbols: int):
+    """The strings of a bucket, whole anchors together until a shard is full; rows for each batch with what was found there."""
+    of = np.dtype(np.uint8 if kind.name == "bytes" else np.uint64)
+
+    def solve(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b, _ASK) for b in table["asked"].to_pylist()]
+        asks, symbols = np.concatenate(parts), np.concatenate([np.frombuffer(b, of) for b in table["symbols"].to_pylist()])
+        source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        n = asks["n"].astype(np.int64) + kind.window - 1
+        start = np.cumsum(n) - n
+        order = np.lexsort((asks["place"], source, asks["anchor"]))
+        anchor = asks["anchor"][order]
+        upto = np.cumsum(n[order])
+        group_end = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(order))
+        hits: dict[int, list] = {}
+        a = 0
+        while a < len(order):
+            # whole groups, at least one, until shard_symbols are reached
+            full = np.searchsorted(upto, (upto[a - 1] if a else 0) + shard_symbols)
+            b = int(group_end[min(np.searchsorted(group_end, min(full + 1, len(order))), len(group_end) - 1)])
+            some = order[a:b]
+            found = solver([symbols[start[i] : start[i] + n[i]] for i in some], asks["doc"][some], kind.window)
+            for i, f in zip(some.tolist(), found, strict=True):
+                if len(f):
+                    hits.setdefault(int(source[i]), []).append((int(asks["place"][i]), f))
+            a = b
+        batches, rows = table["batch"].to_pylist(), []
+        for k, x in hits.items():
+            places, sizes = np.array([p for p, _ in x], "<u4"), np.array([len(f) for _, f in x], "<u4")
+            rows.append((batches[k], None, None, places.tobytes(), sizes.tobytes(), np.concatenate([f for _, f in x]).astype("u1").tobytes()))
+        return _table(_schema(_FOUND), rows)
 
-def _blobs(column: pa.ChunkedArray, of: np.dtype | str) -> tuple[np.ndarray, np.ndarray]:
-    """All elements of a binary column's values in a row, and their number in each value (null: 0)."""
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    joined = b"".join(v for v in values.to_pylist() if v)
-    return np.frombuffer(joined, of), sizes // np.dtype(of).itemsize
+    return solve
 
 
-def _mask(kind: Kind, counts: np.ndarray, docs: np.ndarray, right: pa.Table) -> np.ndarray:
+def _mask(kind: Kind, symbols: np.ndarray, counts: np.ndarray, docs: np.ndarray, buckets: int, right: pa.Table) -> np.ndarray:
     """True for each symbol of the batch that a repeated window covers."""
-    base = np.cumsum(counts) - counts
-    steps = np.zeros(int(counts.sum()) + 1, np.int64)
+    runs = kind.runs(symbols, counts)
+    r = _records(runs, docs, buckets, right)
+    smaller = np.zeros(len(r.own), bool)
+    bits = {k: b for k, b, step in zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), right["step"].to_pylist(), strict=True) if step == 2}
+    for k, a, b in _by_bucket(r.own):
+        smaller[a:b] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a).astype(bool)
+    steps = np.zeros(len(symbols) + 1, np.int32)
 
     def cover(first: np.ndarray, last: np.ndarray) -> None:
         np.add.at(steps, first, 1)
         np.add.at(steps, last, -1)
 
-    whole = right.filter(pc.is_null(right["windows"]))
-    spots, n = _blobs(whole["spots"], _SPOT)
-    spots = spots[docs[spots["text"]] > np.repeat(whole["doc"].to_numpy(), n)]
-    first = base[spots["text"]] + spots["first"]
-    cover(first, first + spots["n"] + (kind.window - 1))
-    some = right.filter(pc.is_valid(right["windows"]))
-    spots, n = _blobs(some["spots"], _SPOT)
-    windows, m = _blobs(some["windows"], "<u4")
-    row = np.repeat(np.arange(len(n)), n)
-    own = docs[spots["text"]] == some["doc"].to_numpy()[row]
-    spots, row = spots[own], row[own]
-    # each spot with each of its row's windows
-    m, start = m[row], (np.cumsum(m) - m)[row]
-    at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start, m)
-    first = np.repeat(base[spots["text"]] + spots["first"], m) + windows[at]
-    cover(first, first + kind.window)
+    # a smaller document holds the run: elsewhere, or in this batch
+    record = np.repeat(np.arange(len(r.own)), r.size)
+    doc = docs[runs.text[r.spots]]
+    least = docs[runs.text[r.head]]
+    whole = r.spots[smaller[record] | (doc > least[record])]
+    cover(runs.first[whole], runs.last[whole] + kind.window)
+    # windows of a run that stand in other runs: in all its spots of the least document, that of the copy that was sent
+    by_place = np.argsort(runs.first[r.head], kind="stable")
+    begin = np.cumsum(r.size) - r.size
+    solved = right.filter(pc.is_valid(right["places"]))
+    for places, sizes, windows in zip(solved["places"].to_pylist(), solved["sizes"].to_pylist(), solved["windows"].to_pylist(), strict=True):
+        place, size, window = np.frombuffer(places, "<u4").astype(np.int64), np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(windows, "u1").astype(np.int64)
+        # single windows that were dealt out by themselves lie inside their run
+        at = by_place[np.searchsorted(runs.first[r.head][by_place], place, side="right") - 1]
+        shift = place - runs.first[r.head[at]]
+        n_spots = np.array([int(np.searchsorted(doc[begin[k] : begin[k] + r.size[k]], least[k], side="right")) for k in at.tolist()], np.int64)
+        ask = np.repeat(np.arange(len(at)), n_spots)
+        spot = r.spots[begin[at][ask] + np.arange(len(ask)) - np.repeat(np.cumsum(n_spots) - n_spots, n_spots)]
+        m = size[ask]
+        which = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat((np.cumsum(size) - size)[ask], m)
+        first = np.repeat(runs.first[spot] + shift[ask], m) + window[which]
+        cover(first, first + kind.window)
     return np.cumsum(steps[:-1]) > 0
 
 
-def _apply(kind: Kind, with_text: bool):
+def _apply(kind: Kind, buckets: int, with_text: bool):
     def digest(table: pa.Table, right: pa.Table) -> dict[str, list]:
         _, docs, texts = _texts(table)
-        data, _, counts, start, end = kind.read(texts)
-        solid = ~_mask(kind, counts, docs, right)
+        data, symbols, counts, start, end = kind.read(texts)
+        solid = ~_mask(kind, symbols, counts, docs, buckets, right)
         raw, at = data.tobytes(), 0
         out: dict[str, list] = {"n_symbols": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
         for text, n in zip(texts, counts.tolist(), strict=True):
@@ -310,7 +413,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, solver: Solver, shard_symbols: i
     the kept words joined by a space, or the kept bytes (bytes that are no
     longer UTF-8 become U+FFFD there, not in the digest).
 
-    Null text: no symbols.  Texts shorter than a window: nothing is removed.
+    Null text: no symbols.  Texts shorter than a window: nothing is removed;
+    very long ones are read whole, a piece at a time.
     Rows with the same doc_id are one document: they do not remove each other's
     windows.  Null doc_ids come last and are one document, too.  Repeated rows
     are treated alike.  Empty input: empty output.
@@ -318,24 +422,16 @@ def remove_repeats(docs: DataFrame, kind: Kind, solver: Solver, shard_symbols: i
     rid = row_key(F.col("doc_id"), F.col("text"))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = int(total // BATCH_BYTES) + 1
-    buckets = min(n_batches, MAX_BUCKETS)
+    buckets = n_batches // PER_BUCKET + 1
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
-    texts = docs.select(rid.alias("rid"), doc.alias("doc"), "text", F.pmod(rid, F.lit(n_batches)).cast("int").alias("batch"), row.alias("row"))
+    texts = docs.select(rid.alias("rid"), doc.alias("doc"), "text", F.pmod(rid, F.lit(n_batches)).alias("batch"), row.alias("row"))
     by_batch = texts.groupBy("batch")
-    sent = by_batch.applyInArrow(_send_anchors(kind, buckets), "bucket int, batch int, blob binary")
-    bits = sent.groupBy("bucket").applyInArrow(_answer, "bucket int, batch int, bits binary")
-    runs = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(_send_runs(kind, buckets), _RUNS)
-    # a batch sends one row for all equal runs in it, so a passage of many documents is few rows here
-    runs = runs.repartition("anchor")
-    same, group = W.partitionBy("anchor", "content").orderBy("doc", "batch"), W.partitionBy("anchor")
-    runs = runs.select("*", F.first("doc").over(same).alias("least"), F.row_number().over(same).alias("nth"))
-    runs = runs.withColumn("n_runs", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(group))
-    asked = runs.where((F.col("doc") == F.col("least")) & (F.col("n_runs") > 1)).select("batch", "anchor", "doc", "spots", F.col("n_runs").cast("long").alias("n_runs"))
-    strings = by_batch.cogroup(asked.groupBy("batch")).applyInArrow(_send_strings(kind), _STRINGS)
-    strings = strings.repartition("shard").sortWithinPartitions("shard")
-    solved = strings.mapInArrow(_solve(kind, solver, shard_symbols), "batch int, doc long, spots binary, windows binary")
-    whole = runs.select("batch", F.col("least").alias("doc"), "spots", F.lit(None).cast("binary").alias("windows"))
-    found = whole.unionByName(solved)
+    bits = by_batch.applyInArrow(_send_anchors(kind, buckets), _ASKED).groupBy("bucket").applyInArrow(_answer, _BITS)
+    bits = bits.withColumn("step", F.lit(1))
+    settled = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(_send_records(kind, buckets), _ASKED).groupBy("bucket").applyInArrow(_settle, _SETTLED)
+    strings = by_batch.cogroup(settled.where(F.octet_length("asked") > 0).groupBy("batch")).applyInArrow(_send_strings(kind, buckets), _STRINGS)
+    solved = strings.groupBy("bucket").applyInArrow(_solve(kind, solver, shard_symbols), _FOUND).withColumn("step", F.lit(3))
+    found = bits.unionByName(settled.drop("asked").withColumn("step", F.lit(2)), allowMissingColumns=True).unionByName(solved, allowMissingColumns=True)
     schema = T.StructType([T.StructField("row", texts.schema["row"].dataType), *[T.StructField(n, T.LongType()) for n in ("n_symbols", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
-    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(_apply(kind, with_text), schema.add("kept_text", T.StringType()) if with_text else schema)
+    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(_apply(kind, buckets, with_text), schema.add("kept_text", T.StringType()) if with_text else schema)

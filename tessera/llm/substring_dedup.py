@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +42,10 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def add(self, sequence: list[int], document: int) -> list[int]:
-        """The state of each prefix of the sequence; each stands for that prefix and some of its suffixes."""
+    def add(self, sequence: list[int], document: int) -> None:
+        """Adds a reference string; the states of its prefixes get its document, if that is smaller than theirs."""
         step, link, length, least = self.step, self.link, self.length, self.least
-        last, states = 0, []
+        last = 0
         for symbol in sequence:
             q = step[last].get(symbol)
             if q is not None:
@@ -59,8 +61,6 @@ class SuffixAutomaton:
                 last = new
             if document < least[last]:
                 least[last] = document
-            states.append(last)
-        return states
 
     def settle(self) -> None:
         """Hands each state's least document on to its suffixes, longest first."""
@@ -69,25 +69,41 @@ class SuffixAutomaton:
             if least[v] < least[link[v]]:
                 least[link[v]] = least[v]
 
-    def matches(self, states: list[int], document: int, floor: int) -> list[int]:
-        """For each prefix: its longest suffix, if of floor symbols or more, in a document with a smaller number; else 0."""
-        link, length, least, out = self.link, self.length, self.least, []
-        for v in states:
-            while length[v] >= floor and least[v] >= document:
+    def statistics(self, sequence: list[int]) -> Iterator[tuple[int, int]]:
+        """Streams a sequence past the reference: for each of its places, the state and the length of the longest suffix that the reference has."""
+        step, link, length = self.step, self.link, self.length
+        v, n = 0, 0
+        for symbol in sequence:
+            while v and symbol not in step[v]:
                 v = link[v]
-            out.append(length[v] if length[v] >= floor else 0)
+                n = length[v]
+            if symbol in step[v]:
+                v, n = step[v][symbol], n + 1
+            yield v, n
+
+    def repeated(self, sequence: list[int], document: int, window: int) -> list[int]:
+        """Where windows of the sequence start that the reference has in a document with a smaller number."""
+        link, length, least, out = self.link, self.length, self.least, []
+        for at, (v, n) in enumerate(self.statistics(sequence)):
+            if n >= window:
+                # the state of the last `window` symbols alone
+                while length[link[v]] >= window:
+                    v = link[v]
+                if least[v] < document:
+                    out.append(at - window + 1)
         return out
 
 
 def shared_windows(strings: list[np.ndarray], documents: np.ndarray, window: int) -> list[np.ndarray]:
     """For each string, where its windows start that also stand in a string of a smaller document."""
     _, symbols = np.unique(np.concatenate(strings), return_inverse=True)
-    automaton, at, states = SuffixAutomaton(), 0, []
-    for s, d in zip(strings, documents.tolist(), strict=True):
-        states.append(automaton.add(symbols[at : at + len(s)].tolist(), d))
-        at += len(s)
+    ends = np.cumsum([len(s) for s in strings]).tolist()
+    parts = [symbols[e - len(s) : e].tolist() for s, e in zip(strings, ends, strict=True)]
+    automaton = SuffixAutomaton()
+    for p, d in zip(parts, documents.tolist(), strict=True):
+        automaton.add(p, d)
     automaton.settle()
-    return [np.flatnonzero(np.array(automaton.matches(v, d, window), np.int64) >= window) - window + 1 for v, d in zip(states, documents.tolist(), strict=True)]
+    return [np.array(automaton.repeated(p, d, window), np.int64) for p, d in zip(parts, documents.tolist(), strict=True)]
 
 
 def dedup_words(docs: DataFrame, window: int = 50, gram: int = 10, with_text: bool = False) -> DataFrame:

@@ -112,14 +112,14 @@ def runs(symbols: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tup
     Each window of `window` symbols inside a text has a minimizer, the least
     hash of its grams of `gram` symbols.  Windows with equal content have equal
     minimizers, wherever they stand, so they meet when they are dealt out by it.
-    Returns (anchor hash, text number, first window, last window) for each run
-    of neighbouring windows with the same minimizer; windows are numbered by
-    their first symbol in the flat array.
+    Returns (anchor hash, text number, first window, last window, place of the
+    minimizer) for each run of neighbouring windows with the same minimizer;
+    windows are numbered by their first symbol in the flat array.
     """
     none = np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     if len(symbols) < window:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     key = grams(symbols, gram)
     # the low bits tell neighbouring places apart, so that a run has one place
     key = (key & ~np.uint64(127)) | (np.arange(len(key), dtype=np.uint64) & np.uint64(127))
@@ -130,7 +130,7 @@ def runs(symbols: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tup
     np.add.at(has, (ends - window + 1)[long], -1)
     valid = np.flatnonzero(np.cumsum(has[:-1]))
     if not len(valid):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     anchor = least[valid]
     text = np.searchsorted(ends, valid, side="right")
     new = np.empty(len(valid), bool)
@@ -138,4 +138,6 @@ def runs(symbols: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tup
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(valid)) - 1
-    return anchor[at] & ~np.uint64(127), text[at], valid[at], valid[last]
+    # the place is one of those that all windows of the run have, and its low bits are known
+    place = valid[last] + (((anchor[at] & np.uint64(127)).astype(np.int64) - valid[last]) & 127)
+    return anchor[at] & ~np.uint64(127), text[at], valid[at], valid[last], place

@@ -78,6 +78,48 @@ def test_hot_anchors_are_split_window_by_window(spark, monkeypatch):
     assert got == brute.repeats(rows, "words", 50)
 
 
+@pytest.mark.parametrize(("kind", "dedup", "most"), [("words", substring_dedup.dedup_words, 4_000), ("bytes", suffix_dedup.dedup_bytes, 4_000), ("words", substring_dedup.dedup_words, 2)])
+def test_repeats_across_batches(spark, monkeypatch, kind, dedup, most):
+    from tessera.llm import repeats
+
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 6_000)
+    monkeypatch.setattr(repeats, "PER_BUCKET", 4)
+    monkeypatch.setattr(repeats, "MAX_RUNS", most)
+    rng = random.Random(11)
+    own = lambda n: [f"q{rng.randint(0, 10**6)}" for _ in range(n)]
+    passages, texts = [own(rng.randint(55, 140)) for _ in range(6)], []
+    for _ in range(150):
+        parts = own(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            p = list(rng.choice(passages))
+            p = p[rng.randint(0, 20) : len(p) - rng.randint(0, 20)]
+            if rng.random() < 0.5:
+                p[rng.randrange(len(p))] = "edit"
+            parts += p + own(rng.randint(0, 30))
+        texts.append(" ".join(parts))
+    rows = [(d, x) for d, x in enumerate(texts)] + [(200 + i, texts[i]) for i in range(20)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.row.doc_id: (r.n_symbols, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup(df).collect()}
+    assert got == brute.repeats(rows, kind, 50)
+    # two texts of one document, in different batches, are judged against the others alike
+    twice = [(d // 2, x) for d, x in rows]
+    least, parts = {}, [(d, x.split() if kind == "words" else list(x.encode())) for d, x in twice]
+    for d, p in parts:
+        for i in range(len(p) - 49):
+            w = tuple(p[i : i + 50])
+            least[w] = min(d, least.get(w, d))
+    want = []
+    for d, p in parts:
+        gone = [False] * len(p)
+        for i in range(len(p) - 49):
+            if least[tuple(p[i : i + 50])] < d:
+                gone[i : i + 50] = [True] * 50
+        want.append((d, len(p), sum(gone)))
+    got = dedup(spark.createDataFrame(twice, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.row.doc_id, r.n_symbols, r.n_removed) for r in got) == sorted(want)
+
+
 def test_jaccard(spark, edge, edge_rows, nothing):
     assert jaccard.similar(nothing).count() == 0
     got = jaccard.similar(edge, 3, 90, 100).collect()
