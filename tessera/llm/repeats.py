@@ -371,14 +371,25 @@ def _mask(kind: Kind, symbols: np.ndarray, counts: np.ndarray, docs: np.ndarray,
     return np.cumsum(steps[:-1]) > 0
 
 
+def _kept_text(kind: Kind, data: np.ndarray, start: np.ndarray, keep: np.ndarray, begin: int, end: int) -> str:
+    """The text of bytes begin to end without the removed symbols; with a word go the blanks after it, other blanks and line ends stay."""
+    if kind.name == "bytes":
+        return data[begin:end][keep].tobytes().decode("utf-8", "replace")
+    steps = np.ones(end - begin, bool)
+    for a, b in zip(start[~keep].tolist(), np.append(start[1:], end)[~keep].tolist(), strict=True):
+        steps[a - begin : b - begin] = False
+    return data[begin:end][steps].tobytes().decode("utf-8", "replace")
+
+
 def _apply(kind: Kind, buckets: int, with_text: bool):
     def digest(table: pa.Table, right: pa.Table) -> dict[str, list]:
         _, docs, texts = _texts(table)
         data, symbols, counts, start, end = kind.read(texts)
         solid = ~_mask(kind, symbols, counts, docs, buckets, right)
-        raw, at = data.tobytes(), 0
+        raw, at, byte = data.tobytes(), 0, 0
         out: dict[str, list] = {"n_symbols": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
         for text, n in zip(texts, counts.tolist(), strict=True):
+            size = 0 if text is None else len(text.encode("utf-8", "surrogatepass"))
             keep = solid[at : at + n]
             removed = n - int(keep.sum())
             opens = ~keep
@@ -391,8 +402,9 @@ def _apply(kind: Kind, buckets: int, with_text: bool):
             for k, v in (("n_symbols", n), ("n_removed", removed), ("n_spans", int(opens.sum())), ("kept_sha256", hashlib.sha256(left).hexdigest())):
                 out[k].append(v)
             if with_text:
-                out["kept_text"].append(left.decode("utf-8", "replace") if removed else text)
+                out["kept_text"].append(_kept_text(kind, data, start[at : at + n], keep, byte, byte + size) if removed else text)
             at += n
+            byte += size
         return out
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -410,8 +422,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, solver: Solver, shard_symbols: i
 
     row: a struct of all columns but text.  n_spans: maximal runs of removed
     symbols.  kept_text is the text as it came where nothing is removed; else
-    the kept words joined by a space, or the kept bytes (bytes that are no
-    longer UTF-8 become U+FFFD there, not in the digest).
+    the text without the removed words and the blanks after each, or the kept
+    bytes (bytes that are no longer UTF-8 become U+FFFD there, not in the digest).
 
     Null text: no symbols.  Texts shorter than a window: nothing is removed;
     very long ones are read whole, a piece at a time.

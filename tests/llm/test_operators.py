@@ -78,6 +78,13 @@ def test_hot_anchors_are_split_window_by_window(spark, monkeypatch):
     assert got == brute.repeats(rows, "words", 50)
 
 
+def test_removed_passages_leave_line_ends(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"a b\n{passage}\nc"), (2, f"é  one\ttwo\n{passage}\n\n three\n"), (3, None)]
+    got = {r.row.doc_id: r.kept_text for r in substring_dedup.dedup_words(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got == {1: rows[0][1], 2: "é  one\ttwo\nthree\n", 3: None}
+
+
 @pytest.mark.parametrize(("kind", "dedup", "most"), [("words", substring_dedup.dedup_words, 4_000), ("bytes", suffix_dedup.dedup_bytes, 4_000), ("words", substring_dedup.dedup_words, 2)])
 def test_repeats_across_batches(spark, monkeypatch, kind, dedup, most):
     from tessera.llm import repeats
