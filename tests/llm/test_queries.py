@@ -56,21 +56,22 @@ def test_op6_finds_held_out_toxic_documents(spark):
 
 def test_pipeline_against_plain_versions(spark, tmp_path):
     import corpus_pipeline as P
+    from tessera.llm import common as C
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     by_name = dict(P.STAGES)
-    good = P.cut(by_name["quality"](spark, docs, SF))
+    good = C.cut(by_name["quality"](spark, docs, SF))
     assert good.columns == docs.columns and 0 < good.count() < docs.count()
-    one = P.cut(by_name["near_duplicates"](spark, good, SF))
+    one = C.cut(by_name["near_duplicates"](spark, good, SF))
     rows = [(r.doc_id, r.text) for r in good.collect()]
     root = brute.components(brute.shingles(rows, 5), 80, 100)
     assert sorted(r.doc_id for r in one.collect()) == sorted(d for d, r in root.items() if d == r)
-    fresh = P.cut(by_name["repeated_passages"](spark, one, SF))
+    fresh = C.cut(by_name["repeated_passages"](spark, one, SF))
     rows = [(r.doc_id, r.text) for r in one.collect()]
     want = brute.repeats(rows, "words", 50)
     assert fresh.columns == docs.columns
     assert {r.doc_id: len(r.text.encode().split()) for r in fresh.collect()} == {d: n - k for d, (n, k, _, _) in want.items() if k < n or not n}
-    clean = P.cut(by_name["benchmark_passages"](spark, fresh, SF))
+    clean = C.cut(by_name["benchmark_passages"](spark, fresh, SF))
     from tessera.llm.decontaminate import decontaminate
 
     hit = {r.doc_id for r in decontaminate(fresh, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
