@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +45,15 @@ def batched(load: Callable[[], Callable[[list[str]], list]], kind: T.DataType, a
     return lambda c: run(c)
 
 
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _letters(texts: pd.Series) -> pd.Series:
+    first, last = ord(LETTERS[0]), ord(LETTERS[-1])
+    return texts.map(lambda t: None if t is None else np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=last + 1)[first : last + 1].astype(np.float32))
+
+
 def letter_embedding(c: Column) -> Column:
     """Counts of the letters a-z: an embedding that SQL can make, too."""
-    low = F.lower(c)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("float") for x in LETTERS])
+    return _letters(c)
 
 
 def template_context(title: Column) -> Column:
@@ -60,4 +66,4 @@ def template_questions(title: Column) -> Column:
 
 def standalone_question(history: Column, question: Column) -> Column:
     """Condenses a follow-up: the last question asked before it, in brackets."""
-    return F.concat(question, F.coalesce(F.concat(F.lit(" ("), F.try_element_at(history, F.size(history))["q"], F.lit(")")), F.lit("")))
+    return F.concat(question, F.coalesce(F.concat(F.lit(" ("), F.get(history, F.size(history) - 1)["q"], F.lit(")")), F.lit("")))

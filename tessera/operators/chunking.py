@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Fixed value: a section of fewer tokens is merged.
 SMALL = 50
+#: Where a text is cut, the best first; "" is between characters.
+SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def contiguous_runs(rows: DataFrame, within: list[str], order: list[str], key: Column) -> DataFrame:
@@ -37,6 +39,7 @@ def chunk_rows(grouped: DataFrame, run: list[str], order: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("section_id").alias("s"), F.col("text").alias("t"))))
     x = grouped.groupBy(*run, "group").agg(
         F.min_by("title", order).alias("title"),
+        *[F.min_by(c, order).alias(c) for c in ("corpus", "kind", "file", "chapter") if c in grouped.columns],
         F.min_by("page", order).alias("page"),
         F.max_by("page", order).alias("page_end"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -56,42 +59,47 @@ def words_of(text: str) -> int:
     return len(text.split())
 
 
-def recursive_split(text: str, cap: int, count: Callable[[str], int] = words_of, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most cap tokens, cut at the first separator that helps; neighbours are joined while they fit."""
-    if count(text) <= cap:
-        return [text] if text.strip() else []
-    cut = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(cut) + 1 :] or ("",)
-    parts = list(text) if cut == "" else [p for p in text.split(cut) if p]
-    out: list[str] = []
-    held = ""
-    for p in parts:
-        if count(p) > cap and cut != "":
-            if held:
-                out.append(held)
-                held = ""
-            out += recursive_split(p, cap, count, finer)
-            continue
-        longer = held + cut + p if held else p
-        if held and count(longer) > cap:
+def recursive_split(text: str, cap: int, count: Callable[[str], int] = words_of, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most cap tokens, without overlap, stripped.
+
+    The text is cut before each of the first separator that it has; a separator
+    stays with what it opens.  Neighbours that are each below the cap are joined
+    while the sum of their tokens is within it; a longer one is cut at the
+    separators that are left, and stays whole if there are none.
+    """
+    if not text.strip():
+        return []
+    cut, finer = "", ()
+    for i, s in enumerate(separators):
+        if s and s in text:
+            cut, finer = s, separators[i + 1 :]
+            break
+    first, *more = text.split(cut) if cut else (text[:1], *text[1:])
+    out, held, n_held = [], "", 0
+    for p in (p for p in (first, *(cut + m for m in more)) if p):
+        n = count(p)
+        if held and (n >= cap or n_held + n > cap):
             out.append(held)
-            held = p
+            held, n_held = "", 0
+        if n < cap:
+            held, n_held = held + p, n_held + n
+        elif finer:
+            out += recursive_split(p, cap, count, finer)
         else:
-            held = longer
-    if held:
-        out.append(held)
-    return [x.strip() for x in out if x.strip()]
+            out.append(p)
+    return [x.strip() for x in (*out, held) if x.strip()]
 
 
 def split_at_cap(chunks: DataFrame, cap: int, count: Callable[[str], int] = words_of) -> DataFrame:
     """Explodes chunks (section_ids, text, ...) into parts of at most cap tokens, with chunk_id and part.
 
-    Where to cut depends on a tokenizer, so it is a pandas UDF on whole columns.
+    A text within the cap stays as it is.  Where to cut depends on a tokenizer,
+    so it is a pandas UDF on whole columns.
     """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_split(t or "", cap, count))
+        return texts.map(lambda t: [t] if t and count(t) <= cap else recursive_split(t or "", cap, count))
 
     x = chunks.withColumn("_parts", pieces("text")).withColumn("n_parts", F.size("_parts"))
     x = x.select(*[c for c in x.columns if c not in ("_parts", "text")], F.posexplode("_parts").alias("part", "text"))
@@ -116,3 +124,28 @@ def require_cap(rows: DataFrame, tokens: str, cap: int) -> DataFrame:
     if worst:
         raise ValueError(f"over the cap of {cap}: {worst[0].asDict()}")
     return rows
+
+
+def prose(rows: DataFrame, kind: str = "kind") -> DataFrame:
+    """Prose sections; pointers to tables are neither merged nor indexed."""
+    return rows.where(F.col(kind) == "prosa")
+
+
+def review_key(corpus: Column, chapter: Column) -> Column:
+    """What a chunk is reviewed with: the notes together, the manual by chapter."""
+    return F.when(corpus == "apuntes", F.lit("apuntes")).otherwise(F.format_string("cap-%02d", chapter))
+
+
+def review_lines(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """(review, ord, line): the markdown of each review, one row a line, so that no review has to fit into a string.
+
+    chunks: (corpus, chapter, chunk_id, title, text, n_tokens, ...).
+    """
+    lines = F.flatten(F.array(F.array(F.concat(F.lit("## "), "chunk_id", F.lit(" · "), F.coalesce("title", F.lit(""))), F.concat(F.lit("*"), F.col("n_tokens").cast("string"), F.lit(" tokens*")), F.lit("")), F.split("text", "\n"), F.array(F.lit(""))))
+    return chunks.select(review_key(F.col("corpus"), F.col("chapter")).alias("review"), *order, F.posexplode(lines).alias("ord", "line"))
+
+
+def write_chunks(chunks: DataFrame, path: str, key: str, tokens: str, cap: int) -> DataFrame:
+    """Writes chunks, by corpus, only if no id repeats and none is over the cap; returns what was written."""
+    require_cap(require_unique(chunks, key), tokens, cap).write.partitionBy("corpus").parquet(path)
+    return chunks.sparkSession.read.parquet(path)

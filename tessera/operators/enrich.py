@@ -44,3 +44,30 @@ def valid_questions(q: Column) -> Column:
 
 def valid_context(context: Column, cap: int = 100) -> Column:
     return F.coalesce((X.strip(context) != "") & (X.n_words(context) <= cap), F.lit(False))
+
+
+def enrichment_of(chunks: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """Enrichment of the chunks of one corpus."""
+    return enrichment.join(chunks.select("id"), "id", "left_semi")
+
+
+def made_valid(rows: DataFrame, make, valid, value: str, prompt: str = "prompt", reminder: str = "\n\nThe last answer did not keep to the rules.") -> DataFrame:
+    """Adds value = make(prompt), made once more, with a reminder, for rows where valid(value) is false; ok tells whether it is valid now."""
+    x = rows.withColumn(value, make(F.col(prompt)))
+    good, bad = x.where(valid(F.col(value))), x.where(~valid(F.col(value)))
+    again = bad.withColumn(value, make(F.concat(F.col(prompt), F.lit(reminder))))
+    return good.withColumn("ok", F.lit(True)).unionByName(again.withColumn("ok", valid(F.col(value))))
+
+
+def require_made(rows: DataFrame, key: str) -> DataFrame:
+    """rows without ok, or an error with some ids that stayed invalid."""
+    bad = [r[key] for r in rows.where(~F.col("ok")).select(key).orderBy(key).limit(5).collect()]
+    if bad:
+        raise ValueError(f"not valid after a second attempt: {bad}")
+    return rows.drop("ok")
+
+
+def parsed_questions(answer: Column) -> Column:
+    """Questions of a JSON array, stripped; none if it doesn't parse."""
+    found = F.from_json(answer, "array<string>")
+    return F.coalesce(F.filter(F.transform(found, X.strip), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))

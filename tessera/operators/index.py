@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of collections and of runs.
+COLLECTION, RUN = "{corpus}-{cap}-{extras}-{embedding}", "{corpus}-{cap}-{extras}-{embedding}-{search}-k{k}"
+
 
 def of_corpus(rows: DataFrame, corpus: str, column: str = "corpus") -> DataFrame:
     """Rows of one corpus; "combined" is all of them."""
@@ -50,9 +53,10 @@ def metadata(columns: list[str]) -> Column:
 
 
 def embed_once(rows: DataFrame, embed) -> DataFrame:
-    """Adds vector: each different embed_text goes through embed (Column -> Column) once and is joined back."""
-    vectors = rows.select("embed_text").distinct().withColumn("vector", embed(F.col("embed_text")))
-    return rows.join(vectors, "embed_text")
+    """Adds vector: each different embed_text goes through embed (Column -> Column) once and is joined back by its SHA-256; null stays without a vector."""
+    x = rows.withColumn("_f", F.unhex(F.sha2("embed_text", 256)))
+    vectors = x.where("_f is not null").groupBy("_f").agg(F.any_value("embed_text").alias("embed_text")).select("_f", embed(F.col("embed_text")).alias("vector"))
+    return x.join(vectors, "_f", "left").drop("_f")
 
 
 def collection_name(*parts: Column) -> Column:
@@ -60,4 +64,7 @@ def collection_name(*parts: Column) -> Column:
 
 
 def run_id(corpus: Column, cap: Column, extras: Column, embedding: Column, search: Column, k: Column, rerank: Column) -> Column:
-    return F.concat(F.concat_ws("-", corpus, cap.cast("string"), extras, embedding, search, F.concat(F.lit("k"), k.cast("string"))), F.when(F.coalesce(rerank, F.lit(False)), F.lit("-rerank")).otherwise(F.lit("")))
+    """config.run_name() of columns."""
+    parts = {"corpus": corpus, "cap": cap.cast("string"), "extras": extras, "embedding": embedding, "search": search, "k": k.cast("string")}
+    name = F.format_string(RUN.format(**dict.fromkeys(parts, "%s")), *parts.values())
+    return F.concat(name, F.when(F.coalesce(rerank, F.lit(False)), F.lit("-rerank")).otherwise(F.lit("")))

@@ -10,8 +10,9 @@ from ..functions import text as X
 
 #: A line on so many pages is a running header; so many worst pages are reported.
 RUNNING_PAGES, WORST_PAGES = 5, 3
-#: Fixed value: a caption of a table, with either hyphen.
-CAPTION = r"(?m)^Table (\d+[‑-]\d+)\."
+#: A caption of a table, with either hyphen and blanks after it; at the start of a line, or anywhere in a parser's caption.
+CAPTION = r"(?m)^Table\s+(\d+)[‑-]\s*(\d+)\."
+ANY_CAPTION = r"Table\s+(\d+)[‑-]\s*(\d+)"
 #: Fixed value: a chapter's row of a table of contents.
 CHAPTER = r"^CHAPTER\s+(\d+)\b"
 
@@ -79,10 +80,22 @@ def not_only_heading(sections: DataFrame) -> DataFrame:
     return sections.where((X.strip(rest) != "") & (X.strip(F.col("text")) != ""))
 
 
+def caption_ids(text: Column, pattern: str = CAPTION) -> Column:
+    """Array of table numbers N-M, with a plain hyphen whichever the text has."""
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("n"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("m"))
+    return F.transform(parts, lambda p: F.concat_ws("-", p["n"], p["m"]))
+
+
 def captions(pages: DataFrame, text: Column, skip_lines: int = 2) -> DataFrame:
-    """Distinct caption numbers below the first lines of each page."""
-    body = F.array_join(F.slice(F.split(text, "\n"), skip_lines + 1, 1_000_000), "\n")
-    return pages.select(F.explode(F.regexp_extract_all(body, F.lit(CAPTION), 1)).alias("caption")).distinct()
+    """Distinct table numbers below the first lines of each page."""
+    lines = F.split(text, "\n")
+    body = F.array_join(F.slice(lines, skip_lines + 1, F.size(lines)), "\n")
+    return pages.select(F.explode(caption_ids(body)).alias("caption")).distinct()
+
+
+def parsed_captions(tables: DataFrame, caption: Column) -> DataFrame:
+    """Distinct table numbers of a parser's tables: the first that each caption names."""
+    return tables.select(F.get(caption_ids(F.coalesce(caption, F.lit("")), ANY_CAPTION), 0).alias("caption")).where("caption is not null").distinct()
 
 
 def table_pointers(items: DataFrame, order: str = "ord") -> DataFrame:
@@ -92,6 +105,30 @@ def table_pointers(items: DataFrame, order: str = "ord") -> DataFrame:
     return x.select("table_id", F.concat(F.lit("Table "), "table_id", F.lit(". "), "caption").alias("text"), "first_page", "last_page")
 
 
+def with_provenance(items: DataFrame, page: str = "page") -> DataFrame:
+    """Items that a parser could place on a page."""
+    return items.where(F.col(page).isNotNull())
+
+
+def manifest(sections: DataFrame, claimed: DataFrame, found: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row a chapter: first and last page, sections, table pointers, tables that the text names, those that the parser lost, and its worst pages.
+
+    sections: (chapter, kind, page, page_end); claimed, found: (chapter, caption); scores: (chapter, page, score).
+    """
+    counts = sections.groupBy("chapter").agg(
+        F.min("page").alias("first_page"),
+        F.max(F.coalesce("page_end", "page")).alias("last_page"),
+        F.count_if(F.col("kind") == "prosa").alias("n_sections"),
+        F.count_if(F.col("kind") == "puntero_tabla").alias("n_pointers"),
+    )
+    lost = claimed.join(found.select("chapter", "caption", F.lit(True).alias("_f")), ["chapter", "caption"], "left")
+    lost = lost.groupBy("chapter").agg(F.count("*").alias("n_tables"), F.array_sort(F.collect_list(F.when(F.col("_f").isNull(), F.col("caption")))).alias("lost_tables"))
+    worst = worst_pages(scores, "chapter", "page", "score").groupBy("chapter").agg(F.array_sort(F.collect_list("page")).alias("worst_pages"))
+    x = counts.join(lost, "chapter", "left").join(worst, "chapter", "left")
+    none = F.array().cast("array<string>")
+    return x.select("chapter", "first_page", "last_page", "n_sections", "n_pointers", F.coalesce("n_tables", F.lit(0)).alias("n_tables"), F.coalesce("lost_tables", none).alias("lost_tables"), F.coalesce("worst_pages", F.array().cast(worst.schema["worst_pages"].dataType)).alias("worst_pages"))
+
+
 def worst_pages(scores: DataFrame, chapter: str, page: str, score: str, n: int = WORST_PAGES) -> DataFrame:
     """The n pages of each chapter with the least scores; NaN and null scores say nothing."""
     x = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(chapter, page).agg(F.min(score).alias("least"))

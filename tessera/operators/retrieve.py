@@ -1,17 +1,22 @@
 """Retrieval: exact dense search, BM25, reciprocal rank fusion, reranking.
 
-Queries are a stated, small set; they meet the corpus by broadcast only after a
-check of their number, and each task keeps the best of its own rows before any
-shuffle (a window group limit), so no task sees all of a query's rows.
+Queries are a stated set; they meet the corpus in blocks of bounded size, and
+each task keeps the best of its own rows before any shuffle, so no task sees all
+of a query's rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
@@ -19,7 +24,8 @@ from ..functions import text as X
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Candidates for the reranker; the lexical list is so many times as long as the dense one.
 RERANK_CANDIDATES, LEXICAL_FACTOR = 20, 4
-MAX_QUERIES = 10_000
+#: Numbers of one block of query vectors: 16 MB.
+MAX_NUMBERS = 2_000_000
 
 
 def top(scored: DataFrame, query: str, item: str, score: Column, n: int) -> DataFrame:
@@ -31,24 +37,66 @@ def top(scored: DataFrame, query: str, item: str, score: Column, n: int) -> Data
 def dense_top(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """(query_id, id, distance, rank): by cosine distance, from queries (query_id, q) and rows (id, vector).
 
-    Every row is compared with every query of the stated set: exact, and linear in the rows.
-    More than MAX_QUERIES queries are searched in blocks, each by a broadcast of its own;
-    all rows of a query_id are in one block.
+    Exact: every row meets every query of the stated set, a batch of rows and a
+    block of queries at a time, as one product of matrices; a task keeps the n
+    best of its rows for each query.  A block has MAX_NUMBERS numbers at most,
+    and goes to all tasks; more queries are searched block by block, each over
+    the rows once.  Null vectors are left out; a vector of zeros is at distance 1.
     """
-    q = queries.withColumn("_nq", F.sqrt(X.dot(F.col("q"), F.col("q"))))
-    v = rows.withColumn("_nv", F.sqrt(X.dot(F.col("vector"), F.col("vector"))))
-
-    def search(block: DataFrame) -> DataFrame:
-        x = v.join(F.broadcast(block)).withColumn("distance", 1 - X.dot(F.col("q"), F.col("vector")) / (F.col("_nq") * F.col("_nv")))
-        return top(x.select("query_id", "id", "distance"), "query_id", "id", -F.col("distance"), n)
-
-    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
-        return search(q)
-    # dealt by hash into blocks of half the number, so that none comes near it
-    n_blocks = -(-2 * queries.count() // MAX_QUERIES)
+    queries = queries.where("q is not null").select("query_id", "q")
+    first = queries.select(F.size("q")).first()
+    if first is None:
+        return rows.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    per_block = max(MAX_NUMBERS // max(first[0], 1), 1)
+    total = queries.count()
+    # dealt by hash into blocks of half the number, so that none comes near it; all rows of a query_id are in one
+    n_blocks = 1 if total <= per_block else -(-2 * total // per_block)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    found = [search(q.where(block == i)) for i in range(n_blocks)]
-    return reduce(DataFrame.unionByName, found)
+    found = [_dense_block(queries.where(block == i) if n_blocks > 1 else queries, rows, n) for i in range(n_blocks)]
+    return top(reduce(DataFrame.unionByName, found), "query_id", "id", -F.col("distance"), n)
+
+
+def _dense_block(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, distance) of each task's n nearest rows to each query, ties included."""
+    asked = queries.collect()
+    matrix = np.array([r["q"] for r in asked], float)
+    norms = np.sqrt((matrix * matrix).sum(1, keepdims=True)) if len(asked) else 1.0
+    shared = rows.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], (matrix / np.where(norms > 0, norms, 1)).T if len(asked) else matrix))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best: tuple[np.ndarray, np.ndarray, list] | None = None  # query number, distance, and each hit's id
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            v = np.array(b.column("vector").to_pylist(), float)
+            size = np.sqrt((v * v).sum(1, keepdims=True))
+            # to twelve decimals, beyond which the order of additions shows
+            distance = np.round(1 - (v / np.where(size > 0, size, 1)) @ q, 12) + 0.0
+            # with a margin, so that rounding settles ties in one place only
+            worst = np.partition(distance, n - 1, axis=0)[n - 1] if len(v) > n else np.full(len(ids), np.inf)
+            row, number = np.nonzero(distance <= worst + 2e-9)
+            keys = b.column("id").take(pa.array(row)).to_pylist()
+            new = (number, distance[row, number], keys)
+            best = new if best is None else _kept(np.concatenate([best[0], new[0]]), np.concatenate([best[1], new[1]]), best[2] + new[2], n)
+        if best is not None:
+            number, distance, keys = best
+            made = ([ids[i] for i in number.tolist()], keys, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, types, strict=True)], schema=types)
+
+    return rows.where("vector is not null").select("id", "vector").mapInArrow(run, schema)
+
+
+def _kept(number: np.ndarray, distance: np.ndarray, keys: list, n: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Of each query's hits the n nearest, and those within rounding of the last."""
+    order = np.lexsort((distance, number))
+    number, distance = number[order], distance[order]
+    start = np.searchsorted(number, number)
+    last = np.minimum(start + n - 1, np.searchsorted(number, number, side="right") - 1)
+    keep = distance <= distance[last] + 2e-9
+    return number[keep], distance[keep], [keys[i] for i in order[keep].tolist()]
 
 
 def to_parents(hits: DataFrame, parent: Column, n: int) -> DataFrame:
@@ -109,9 +157,17 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, X.tokens(text))) / F.greatest(F.size(q), F.lit(1))
 
 
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """Rows that are chunks: what BM25 and the evaluation know; question rows are for the dense search alone."""
+    return rows.where("entry_type = 'chunk'")
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, n: int, score=overlap_score) -> DataFrame:
     """The n candidates (query_id, id) of each query with the best score(query text, document text)."""
-    x = candidates.select("query_id", "id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(docs.select("id", F.col("text").alias("_d")), "id")
+    asked = candidates.select("query_id", "id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    # n candidates a query: broadcast if their number, which is counted, is small, so that only their texts leave the scan
+    asked = F.broadcast(asked) if candidates.limit(100_001).count() <= 100_000 else asked
+    x = docs.select("id", F.col("text").alias("_d")).join(asked, "id")
     return top(x.withColumn("score", score(F.col("_q"), F.col("_d"))).drop("_q", "_d"), "query_id", "id", F.col("score"), n)
 
 

@@ -8,21 +8,28 @@ relevant; conversations are dialogues.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formats as FM
 from ..functions import models as M
 from ..functions import text as X
 from ..operators import answer as AN
 from ..operators import chunking as C
 from ..operators import enrich as EN
 from ..operators import evaluate as EV
+from ..operators import exam as EX
 from ..operators import index as IX
 from ..operators import ingest as IN
 from ..operators import retrieve as R
+from ..sources import tables as TB
+from ..sources import vectors as VC
 from ..streaming import dialogue as DI
+from . import config as CF
+from . import retrieval as RT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,8 +90,10 @@ def title_split(spark, d):
 
 @query(f"SELECT term, count(*) AS n_total, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
 def tokenize_counts(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return x.groupBy("term").agg(F.sum("tf").alias("n_total"), F.count("*").alias("n_docs"))
+    # a document's different terms are found within the row, so counts by term alone are shuffled, summed up before
+    once = t(spark, d, "documents").select(X.tokens(F.col("text")).alias("w")).select("w", F.array_distinct("w").alias("d"))
+    each = once.select(F.explode(F.concat(F.transform("w", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"))), F.transform("d", lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"))))).alias("x"))
+    return each.groupBy("x.term").agg(F.sum("x.n").alias("n_total"), F.count_if(F.col("x.n") == 0).alias("n_docs"))
 
 
 @query("SELECT doc_id, left(sha256(text), 16) AS fingerprint FROM documents")
@@ -141,16 +150,27 @@ def segment_sections(spark, d):
     return x.select("doc_id", "section", "unit", "n_items", F.md5("text").alias("digest"))
 
 
-@query(r"""
-WITH p AS (SELECT 'Table ' || (page_id % 9) || '-' || (page_id % 4) || '. ' AS cap, page_id FROM pages),
-claimed AS (SELECT DISTINCT regexp_extract(cap, 'Table (\d+-\d+)\.', 1) AS caption FROM p),
-found AS (SELECT DISTINCT regexp_extract(cap, 'Table (\d+-\d+)\.', 1) AS caption FROM p WHERE page_id % 5 > 2 AND page_id % 9 < 6)
-SELECT caption FROM claimed WHERE caption NOT IN (SELECT caption FROM found)""")
+_CAPTIONS = r"""p AS (SELECT page_id, 'Table  ' || (page_id % 9) || CASE WHEN page_id % 2 = 0 THEN chr(8209) ELSE '- ' END || (page_id % 4) || '. ' || substr(html, 1, 20) AS cap FROM pages),
+c AS (SELECT page_id, regexp_extract(cap, 'Table\s+(\d+)[' || chr(8209) || '-]\s*(\d+)', 1) || '-' || regexp_extract(cap, 'Table\s+(\d+)[' || chr(8209) || '-]\s*(\d+)', 2) AS caption FROM p)"""
+
+
+def _captions(spark, d):
+    hyphen = F.when(F.col("page_id") % 2 == 0, F.lit("\u2011")).otherwise(F.lit("- "))
+    cap = F.concat(F.lit("Table  "), (F.col("page_id") % 9).cast("string"), hyphen, (F.col("page_id") % 4).cast("string"), F.lit(". "), F.substring("html", 1, 20))
+    return t(spark, d, "pages").select("page_id", cap.alias("cap"))
+
+
+@query(f"WITH {_CAPTIONS} SELECT DISTINCT caption FROM c WHERE caption NOT IN (SELECT caption FROM c WHERE page_id % 5 > 2 AND page_id % 9 < 6)")
 def lost_captions(spark, d):
-    cap = F.concat(F.lit("Table "), (F.col("page_id") % 9).cast("string"), F.lit("-"), (F.col("page_id") % 4).cast("string"), F.lit(". "))
-    pages = t(spark, d, "pages").select("page_id", F.concat(F.lit("head\nhead\n"), cap).alias("text"))
-    claimed = IN.captions(pages, F.col("text"))
-    return claimed.join(IN.captions(pages.where("page_id % 5 > 2 and page_id % 9 < 6"), F.col("text")), "caption", "left_anti")
+    """Captions in the text of pages, below two lines of header, that no table of the parser has; either may have either hyphen."""
+    x = _captions(spark, d)
+    claimed = IN.captions(x, F.concat(F.lit("Table 1-1. head\nhead\n"), "cap"))
+    return claimed.join(IN.parsed_captions(x.where("page_id % 5 > 2 and page_id % 9 < 6"), F.col("cap")), "caption", "left_anti")
+
+
+@query(f"WITH {_CAPTIONS} SELECT page_id, caption FROM c")
+def caption_numbers(spark, d):
+    return _captions(spark, d).select("page_id", F.get(IN.caption_ids(F.col("cap")), 0).alias("caption"))
 
 
 @query("""
@@ -223,7 +243,7 @@ def _chunks(spark, d):
 
 
 def _enrichment(spark, d):
-    return _chunks(spark, d).where("cast(id as bigint) % 10 <> 3").select("id", M.template_context(F.col("title")).alias("context"), M.template_questions(F.col("title")).alias("questions"))
+    return _chunks(spark, d).select("id", M.template_context(F.col("title")).alias("context"), M.template_questions(F.col("title")).alias("questions"))
 
 
 def _digest(x):
@@ -235,7 +255,7 @@ def index_rows_base(spark, d):
     return _digest(IX.base_rows(_chunks(spark, d)))
 
 
-_CONTEXTUAL = "SELECT doc_id::VARCHAR AS row_id, 'chunk' AS entry_type, NULL::VARCHAR AS parent_id, md5('About ' || lang || ' ' || source || '.' || chr(10) || chr(10) || text) AS embed_md5, md5(text) AS document_md5 FROM documents WHERE doc_id % 10 <> 3"
+_CONTEXTUAL = "SELECT doc_id::VARCHAR AS row_id, 'chunk' AS entry_type, NULL::VARCHAR AS parent_id, md5('About ' || lang || ' ' || source || '.' || chr(10) || chr(10) || text) AS embed_md5, md5(text) AS document_md5 FROM documents"
 
 
 @query(_CONTEXTUAL)
@@ -244,7 +264,7 @@ def index_rows_contextual(spark, d):
 
 
 @query(_CONTEXTUAL + """ UNION ALL SELECT doc_id || '::hype::' || (k - 1), 'hype', doc_id::VARCHAR, md5(['What is ', 'Where is ', 'Why is '][k] || lang || ' ' || source || '?'), md5(text)
-FROM (SELECT *, unnest([1, 2, 3]) AS k FROM documents WHERE doc_id % 10 <> 3)""")
+FROM (SELECT *, unnest([1, 2, 3]) AS k FROM documents)""")
 def index_rows_hype(spark, d):
     return _digest(IX.hype_rows(_chunks(spark, d), _enrichment(spark, d)))
 
@@ -317,7 +337,8 @@ _TOP = "SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, row_number
 @query(f"WITH {_DENSE}, other AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY abs(id - query_id), id)::INTEGER AS rank FROM dist), f AS {_RRF.format('SELECT query_id, id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT query_id, id, rank FROM other WHERE rank <= 40')} {_TOP.format('f', 10)}")
 def rrf_fusion(spark, d):
     queries, rows = _vectors(spark, d)
-    near = F.broadcast(queries.select("query_id")).join(rows.select("id"), F.abs(F.col("id") - F.col("query_id")) <= 45)
+    # the ids near a query's are named, so that they are found by equality
+    near = queries.select("query_id", F.explode(F.sequence(F.col("query_id") - 45, F.col("query_id") + 45)).alias("id")).join(rows.select("id"), "id")
     other = EV.ranks(near, ["query_id"], [F.abs(F.col("id") - F.col("query_id")), F.col("id")]).where("rank <= 40")
     return R.rrf([R.dense_top(queries, rows, 10), other], 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -381,9 +402,8 @@ def eval_per_corpus(spark, d):
 
 
 def _grid(spark):
-    values = {"corpus": ["apuntes", "manual", "combined"], "extras": ["base", "contextual", "hype"], "embedding": ["bgem3", "qwen06b", "qwen8b", "openai3large"], "search": ["densa", "hibrida"], "k": [3, 5, 10], "rerank": [False, True]}
-    x = spark.range(1).select(F.lit(512).alias("cap"))
-    for name, v in values.items():
+    x = spark.range(1).select(F.lit(CF.GIVEN["cap"]).alias("cap"))
+    for name, v in (CF.ALLOWED | {"rerank": (False, True)}).items():
         x = x.select("*", F.explode(F.array(*[F.lit(i) for i in v])).alias(name))
     x = x.withColumn("run_id", IX.run_id(*[F.col(c) for c in ("corpus", "cap", "extras", "embedding", "search", "k", "rerank")]))
     return x.withColumn("hit_rate", (F.conv(F.substring(F.md5("run_id"), 1, 4), 16, 10).cast("int") % 1000) / 1000.0)
@@ -399,8 +419,8 @@ def config_grid(spark, d):
     return _grid(spark).select("run_id", IX.collection_name(F.col("corpus"), F.col("cap").cast("string"), F.col("extras"), F.col("embedding")).alias("collection"), "hit_rate")
 
 
-BASE = {"corpus": "combined", "cap": 512, "extras": "contextual", "embedding": "qwen8b", "search": "hibrida", "k": 10, "rerank": True}
-_DIMS = ("corpus", "extras", "embedding", "search", "k", "rerank", "cap")
+BASE = CF.BEST
+_DIMS = EV.DIMENSIONS
 
 
 def _sweep_sql() -> str:
@@ -432,11 +452,9 @@ def summary_union(spark, d):
 
 @query(f"WITH {_GRID}, r AS (SELECT run_id, CASE WHEN k = 5 THEN 'm' END AS model FROM runs UNION ALL SELECT NULL, 'm') SELECT run_id, model IS NOT NULL AS is_generation FROM r WHERE run_id IS NOT NULL")
 def results_split(spark, d):
-    from ..sources.tables import split_runs
-
     rows = _grid(spark).select("run_id", F.when(F.col("k") == 5, F.lit("m")).alias("model"))
     rows = rows.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("run_id"), F.lit("m").alias("model")))
-    retrieval, generation = split_runs(rows)
+    retrieval, generation = TB.split_runs(rows)
     return retrieval.select("run_id", F.lit(False).alias("is_generation")).unionByName(generation.select("run_id", F.lit(True).alias("is_generation")))
 
 
@@ -517,11 +535,252 @@ pairs AS (SELECT conv_id, turn, text AS question, next_text AS answer FROM n WHE
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM pairs)
 SELECT conv_id, max(n) AS n_pairs, md5(string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) ORDER BY turn)) AS digest FROM r WHERE k <= 3 GROUP BY conv_id""")
 def dialogue_window3(spark, d):
-    h = DI.histories(DI.dialogue_turns(t(spark, d, "conversations")))
-    return h.select("conv_id", F.size("history").cast("long").alias("n_pairs"), F.md5(AN.history_text(AN.last_turns(F.col("history")))).alias("digest"))
+    h = DI.last_pairs(DI.dialogue_turns(t(spark, d, "conversations")), AN.LAST_TURNS)
+    return h.select("conv_id", "n_pairs", F.md5(AN.history_text(F.col("history"))).alias("digest"))
 
 
 @query(f"WITH {_PAIRS} SELECT conv_id, turn, md5(question) AS question, md5(answer) AS answer, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS n_before FROM pairs")
 def streaming_dialogue(spark, d):
-    """The batch form; tests run the same function on a stream and compare."""
-    return DI.dialogue_turns(t(spark, d, "conversations")).withColumns({"question": F.md5("question"), "answer": F.md5("answer")})
+    """A stream over the table, with each conversation as state, into a folder that executors share."""
+    table = t(spark, d, "conversations")
+    # a pattern, as the table may be one file or a folder of them
+    stream = spark.readStream.schema(table.schema).parquet(f"{d}/conversations.parquet*")
+    pairs = DI.run_available(DI.dialogue_turns(stream), f"{TB.shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return pairs.withColumns({"question": F.md5("question"), "answer": F.md5("answer")})
+
+
+# --- retrieval by settings, turns, runs -----------------------------------
+
+
+def _collection(spark, d, questions=False):
+    """Documents as a collection with letter vectors; with questions, a row for the title's first one, too."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("chunk").alias("entry_type"), F.lit(None).cast("string").alias("parent_id"), F.col("text").alias("document"), F.col("text").alias("embed_text"), F.col("lang").alias("corpus"), F.lit(None).cast("string").alias("title"))
+    if questions:
+        asked = t(spark, d, "documents").select(F.concat("doc_id", F.lit("::hype::0")).alias("id"), F.lit("hype").alias("entry_type"), F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("document"), F.left("text", F.lit(80)).alias("embed_text"), F.col("lang").alias("corpus"), F.lit(None).cast("string").alias("title"))
+        docs = docs.unionByName(asked)
+    return docs.withColumn("vector", M.letter_embedding(F.col("embed_text"))).drop("embed_text")
+
+
+def _settings(search, rerank, extras="base", k=5):
+    return CF.settings(corpus="combined", extras=extras, embedding="bgem3", search=search, k=k, rerank=rerank)
+
+
+def _exam(spark, d):
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", M.letter_embedding(F.col("text")).alias("q"))
+
+
+def _retrieved(spark, d, search, rerank, extras="base"):
+    x = RT.retrieve(_settings(search, rerank, extras), _exam(spark, d), _collection(spark, d, extras == "hype"))
+    return x.select("query_id", "id", F.round("score", 6).alias("score"), "rank", "score_kind")
+
+
+_STRING_BM25 = _bm25(80).replace("SELECT doc_id AS id,", "SELECT doc_id::VARCHAR AS id,").replace("d.doc_id AS id", "d.doc_id::VARCHAR AS id").replace("hit.id = d.doc_id", "hit.id = d.doc_id::VARCHAR")
+_BASE_DENSE = f"""lv AS (SELECT doc_id::VARCHAR AS id, {_LETTERS}::DOUBLE[] AS v FROM documents), lq AS (SELECT item_id AS query_id, {_LETTERS}::DOUBLE[] AS v FROM benchmark),
+ld AS (SELECT query_id, id, 1 - list_cosine_similarity(lq.v, lv.v) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(lq.v, lv.v) - 1, 9) DESC, id)::INTEGER AS rank FROM lq, lv)"""
+_PAIR = f"len(list_intersect(list_distinct({TOKENS.format('b.text')}), {TOKENS.format('d.text')}))::DOUBLE / greatest(len(list_distinct({TOKENS.format('b.text')})), 1)"
+_RERANKED = f"s AS (SELECT c.query_id, c.id, {_PAIR} AS score FROM c JOIN benchmark b ON b.item_id = c.query_id JOIN documents d ON d.doc_id::VARCHAR = c.id)"
+_FUSED = "f AS " + _RRF.format("SELECT query_id, id, rank FROM ld WHERE rank <= {0} UNION ALL SELECT query_id, id, rank FROM lexical WHERE rank <= {1}")
+
+
+@query(f"WITH {_BASE_DENSE} SELECT query_id, id, round(score, 6) AS score, rank, 'distancia' AS score_kind FROM ld WHERE rank <= 5")
+def retrieve_dense(spark, d):
+    return _retrieved(spark, d, "densa", False)
+
+
+@query(f"WITH {_BASE_DENSE}, c AS (SELECT query_id, id FROM ld WHERE rank <= 20), {_RERANKED} SELECT *, 'rerank' AS score_kind FROM ({_TOP.format('s', 5)})")
+def retrieve_dense_rerank(spark, d):
+    return _retrieved(spark, d, "densa", True)
+
+
+@query(f"WITH {_STRING_BM25}, {_BASE_DENSE}, {_FUSED.format(5, 20)} SELECT *, 'rrf' AS score_kind FROM ({_TOP.format('f', 5)})")
+def retrieve_hybrid(spark, d):
+    return _retrieved(spark, d, "hibrida", False)
+
+
+@query(f"WITH {_STRING_BM25}, {_BASE_DENSE}, {_FUSED.format(20, 80)}, c AS ({_TOP.format('f', 20)}), {_RERANKED} SELECT *, 'rerank' AS score_kind FROM ({_TOP.format('s', 5)})")
+def retrieve_hybrid_rerank(spark, d):
+    return _retrieved(spark, d, "hibrida", True)
+
+
+_LETTERS_OF = _LETTERS.replace("(text)", "(embed_text)")
+
+
+@query(f"""WITH c AS (SELECT doc_id::VARCHAR AS id, doc_id::VARCHAR AS parent, text AS embed_text FROM documents UNION ALL SELECT doc_id || '::hype::0', doc_id::VARCHAR, left(text, 80) FROM documents),
+lv AS (SELECT id, parent, {_LETTERS_OF}::DOUBLE[] AS v FROM c), lq AS (SELECT item_id AS query_id, {_LETTERS}::DOUBLE[] AS v FROM benchmark),
+ld AS (SELECT query_id, id, parent, 1 - coalesce(nullif(list_cosine_similarity(lq.v, lv.v), 'NaN'::DOUBLE), 0) AS score FROM lq, lv),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(-score, 9) DESC, id)::INTEGER AS r FROM ld),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY r) AS nth FROM lr WHERE r <= 20)
+SELECT * FROM (SELECT query_id, parent AS id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r)::INTEGER AS rank, 'distancia' AS score_kind FROM p WHERE nth = 1) WHERE rank <= 5""")
+def retrieve_questions(spark, d):
+    return _retrieved(spark, d, "densa", False, "hype")
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, text AS question, CASE WHEN item_id % 2 = 0 THEN text ELSE text || ' (depth)' END AS text FROM benchmark),
+lv AS (SELECT doc_id, {_LETTERS}::DOUBLE[] AS v FROM documents), lq AS (SELECT query_id, question, text, {_LETTERS}::DOUBLE[] AS v FROM q),
+ld AS (SELECT query_id, question, lq.text, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(lq.v, lv.v) - 1, 9) DESC, doc_id::VARCHAR)::INTEGER AS rank FROM lq, lv),
+p AS (SELECT query_id, any_value(question) AS question, any_value(ld.text) AS query, string_agg('[' || lang || ' · ' || doc_id || ']' || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || any_value(ld.text) AS prompt FROM ld JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY query_id)
+SELECT query_id, md5(query) AS query, CASE WHEN query_id % 3 = 0 THEN 'No answer can be given from the sources.' ELSE 'It is ' || md5(prompt) END AS answer, query_id % 3 = 0 AS abstained, (query_id % 2 + 1)::INTEGER AS n_history FROM p""")
+def one_turn(spark, d):
+    """Questions with and without a history, condensed, searched, put into a prompt, answered and appended; a third of the answers has a number that no source allows."""
+    pair = F.struct(F.lit("depth").alias("q"), F.lit("ten").alias("a"))
+    turns = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 1, F.array(pair)).otherwise(F.array().cast("array<struct<q:string,a:string>>")).alias("history"))
+
+    rejected = F.col("query_id") % 3 == 0
+    allowed = AN.allowed_pairs(spark.range(1).select(F.lit("10").alias("number"), F.lit("m").alias("unit")))
+    x = RT.run_turn(_settings("densa", False, k=3), turns, _collection(spark, d), M.letter_embedding, M.standalone_question, lambda p: F.when(rejected, "It is 99 m").otherwise(F.concat(F.lit("It is "), F.md5(p))), allowed)
+    return x.select("query_id", F.md5("query").alias("query"), "answer", "abstained", F.size("history").alias("n_history"))
+
+
+@query(f"""WITH {_DENSE}, hits AS (SELECT query_id, rank, id, e.label || '-' || (e.vec_id % 7) AS section, e.vec_id % 100 AS n_tokens FROM dense JOIN embeddings e ON e.vec_id = dense.id WHERE rank <= 5),
+wanted AS (SELECT vec_id AS query_id, unnest([label || '-0', label || '-1', label || '-2']) AS section FROM embeddings WHERE vec_id % 100 = 0),
+good AS (SELECT hits.* FROM hits JOIN wanted USING (query_id, section)),
+m AS (SELECT q.query_id, CASE WHEN count(g.rank) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, count(g.rank) / 5.0::DOUBLE AS precision, coalesce(1.0::DOUBLE / min(g.rank), 0) AS mrr, count(DISTINCT g.section) / 3.0::DOUBLE AS recall FROM (SELECT DISTINCT query_id FROM wanted) q LEFT JOIN good g USING (query_id) GROUP BY q.query_id),
+k AS (SELECT query_id, sum(n_tokens) AS tokens FROM hits GROUP BY query_id)
+SELECT 'combined' AS corpus, 512 AS cap, 'base' AS extras, 'bgem3' AS embedding, 'densa' AS search, 5 AS k, false AS rerank, 'combined-512-base-bgem3' AS collection, 'combined-512-base-bgem3-densa-k5' AS run_id,
+  round(avg(hit), 4) AS hit_rate, round(avg(precision), 4) AS precision, round(avg(mrr), 4) AS mrr, round(avg(recall), 4) AS recall, count(*) AS n_scored, (SELECT round(avg(tokens), 2) FROM k) AS mean_tokens, (SELECT count(*) FROM k) AS n_queries FROM m""")
+def run_result(spark, d):
+    """A grid of one run, done from collection to result row."""
+    e = t(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), F.lit("chunk").alias("entry_type"), F.lit(None).cast("long").alias("parent_id"), F.lit("").alias("document"), F.col("embedding").alias("vector"), F.array(F.concat_ws("-", "label", (F.col("vec_id") % 7).cast("string"))).alias("sections"), (F.col("vec_id") % 100).alias("n_tokens"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("").alias("text"), F.col("embedding").alias("q"))
+    labels = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.array(*[F.concat_ws("-", "label", F.lit(str(i))) for i in range(3)]).alias("sections"))
+    runs = CF.grid(corpus="combined", extras="base", embedding="bgem3", search="densa")
+    return RT.run_grid(runs, queries, labels, lambda _: rows, done={"combined-512-base-bgem3-densa-k3", "combined-512-base-bgem3-densa-k10"})
+
+
+@query(f"WITH {_GRID} SELECT run_id FROM runs WHERE corpus = 'manual' AND extras = 'hype' AND NOT rerank")
+def build_filter(spark, d):
+    return spark.createDataFrame([(CF.run_name(s),) for s in CF.grid(corpus="manual", extras="hype")], "run_id string")
+
+
+@query(f"WITH {_GRID} SELECT run_id, hit_rate, row_number() OVER (ORDER BY hit_rate DESC, run_id)::INTEGER AS place FROM runs WHERE search = 'densa'")
+def summary_sorted(spark, d):
+    """Runs with one value of a setting, by a column; a table of runs is small."""
+    return EV.ranks(_grid(spark).where("search = 'densa'").select("run_id", "hit_rate"), [], [F.desc("hit_rate"), F.col("run_id")]).withColumnRenamed("rank", "place")
+
+
+# --- exam, labels, reviews, formats ---------------------------------------
+
+
+@query("SELECT item_id AS id, item_id AS exam_ord, CASE WHEN item_id % 7 = 3 THEN NULL ELSE item_id + 1 END AS label_ord FROM benchmark WHERE item_id % 7 = 3 OR item_id % 5 = 4 UNION ALL SELECT -item_id - 1, NULL, item_id FROM benchmark WHERE item_id % 11 = 2")
+def exam_mismatch(spark, d):
+    """Labels that lack a question, stand at another place, or have none."""
+    b = t(spark, d, "benchmark")
+    exam = b.select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"))
+    labels = exam.where("id % 7 <> 3").withColumn("ord", F.when(F.col("id") % 5 == 4, F.col("ord") + 1).otherwise(F.col("ord")))
+    return EX.unmatched(exam, labels.unionByName(exam.where("id % 11 = 2").select((-F.col("id") - 1).alias("id"), "ord")))
+
+
+@query("SELECT doc_id, quality::VARCHAR || chr(10) || 'O BIEN (alternativa igual de válida):' || chr(10) || toxic::VARCHAR AS expected FROM labels")
+def expected_answers(spark, d):
+    return t(spark, d, "labels").select("doc_id", EX.expected_text(F.array(F.col("quality").cast("string"), F.col("toxic").cast("string"))).alias("expected"))
+
+
+@query("WITH l AS (SELECT doc_id AS id, ['a' || doc_id % 3, 'a' || doc_id % 2] AS a, CASE WHEN quality = 1 THEN ['b', 'a' || doc_id % 3] END AS b FROM labels), u AS (SELECT id, list_concat(a, coalesce(b, [])) AS x FROM l) SELECT id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ',') AS sections FROM u")
+def label_sections(spark, d):
+    name = lambda n: F.concat(F.lit("a"), (F.col("doc_id") % n).cast("string"))
+    x = t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.array(name(3), name(2)).alias("a"), F.when(F.col("quality") == 1, F.array(F.lit("b"), name(3))).alias("b"))
+    return EX.all_sections(x, ["a", "b"]).select("id", F.array_join("sections", ",").alias("sections"))
+
+
+@query("SELECT event_type, min(event_id) AS first_id, row_number() OVER (ORDER BY min(event_id))::INTEGER AS place FROM events GROUP BY event_type")
+def ordered_distinct(spark, d):
+    x = EX.ordered_distinct(t(spark, d, "events"), "event_type", ["event_id"]).select("event_type", F.col("place.event_id").alias("first_id"))
+    return EV.ranks(x, [], [F.col("first_id")]).withColumnRenamed("rank", "place")
+
+
+@query("SELECT count(*) FILTER (quality = 1 OR doc_id % 2 = 0) AS n_done, count(*) FILTER (NOT (quality = 1 OR doc_id % 2 = 0)) AS n_left, count(*) FILTER (NOT (quality = 1 OR doc_id % 2 = 0)) = 0 AS complete FROM labels")
+def labelling_progress(spark, d):
+    """A label is set where there is none; what was labelled before stays."""
+    x = t(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "pass").otherwise("").alias("label"), F.lit(None).cast("string").alias("note"))
+    new = x.where("doc_id % 2 = 0").select("doc_id", F.lit("fail").alias("label"), F.lit("seen").alias("note"))
+    return EX.progress(EX.with_label(x, "doc_id", new))
+
+
+@query("SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS label FROM labels WHERE doc_id % 5 <> 0 AND (toxic = 1) = (quality = 1)")
+def judge_disagreements(spark, d):
+    x = t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "fail").otherwise("pass").alias("verdict"), F.when(F.col("doc_id") % 5 == 0, "").when(F.col("quality") == 1, "pass").otherwise("fail").alias("label"))
+    return EX.disagreements(x)
+
+
+@query("SELECT 'anon-' || doc_id AS id, quality, CASE WHEN doc_id % 3 <> 1 THEN doc_id END AS real_id FROM labels")
+def calibration_mapping(spark, d):
+    x = t(spark, d, "labels")
+    anon = F.concat(F.lit("anon-"), "doc_id")
+    return EX.with_real_ids(x.select(anon.alias("id"), "quality"), x.where("doc_id % 3 <> 1").select(anon.alias("id"), F.col("doc_id").alias("real_id")))
+
+
+@query("SELECT item_id AS id, judge, (length(text) % n) / 10.0::DOUBLE AS score, judge || (length(text) % n) AS reason, (length(text) % n) / 10.0::DOUBLE >= 0.5 AS passed FROM benchmark, (VALUES ('a', 7), ('b', 9), ('c', 11)) j(judge, n)")
+def judge_council(spark, d):
+    def judge(name, n):
+        part = lambda c: F.length(c) % n
+        return lambda c: F.struct((part(c) / 10.0).cast("double").alias("score"), F.concat(F.lit(name), part(c).cast("string")).alias("reason"))
+
+    cases = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("case"))
+    return EX.council(cases, {n: judge(n, k) for n, k in (("c", 11), ("a", 7), ("b", 9))})
+
+
+@query("SELECT p_partkey, printf('%.4f', p_retailprice) AS plain, CASE WHEN p_size = 1 THEN '' ELSE printf('%+.4f', p_size - 25.5) END AS delta, printf('%.1f%%', p_size * 100 / 64.0::DOUBLE) AS share, printf('cap-%02d', p_size) AS chapter FROM part")
+def number_formats(spark, d):
+    return t(spark, d, "part").select("p_partkey", FM.decimals(F.col("p_retailprice")).alias("plain"), FM.signed(F.when(F.col("p_size") != 1, F.col("p_size") - 25.5)).alias("delta"), FM.percent(F.col("p_size") / 64).alias("share"), FM.two_digits("cap-", F.col("p_size")).alias("chapter"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp FROM events")
+def run_stamps(spark, d):
+    return t(spark, d, "events").select("event_id", FM.run_stamp(F.col("ts")).alias("stamp"))
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id % 4 <> 0")
+def prose_only(spark, d):
+    x = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 4 == 0, "puntero_tabla").otherwise("prosa").alias("kind"))
+    return C.prose(x).select("id")
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents")
+def chunk_rows_only(spark, d):
+    """What BM25 and the evaluation see of a collection that has question rows, too."""
+    return R.chunk_rows(_collection(spark, d, True).select("id", "entry_type")).select("id")
+
+
+@query("SELECT doc_id::VARCHAR AS id, md5('About ' || lang || ' ' || source || '.') AS context FROM documents WHERE lang = 'en'")
+def corpus_enrichment(spark, d):
+    chunks = IX.of_corpus(t(spark, d, "documents"), "en", "lang").select(F.col("doc_id").cast("string").alias("id"))
+    return EN.enrichment_of(chunks, _enrichment(spark, d)).select("id", F.md5("context").alias("context"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'rules kept' ELSE text END AS value, item_id % 3 = 0 OR len(regexp_extract_all(text, '\\S+')) <= 100 AS ok FROM benchmark")
+def context_retry(spark, d):
+    """A stub that writes too much at first and keeps to the rules when reminded, or doesn't."""
+    x = t(spark, d, "benchmark").select("item_id", "text", F.lit("make").alias("prompt"))
+    long = F.array_join(F.array_repeat(F.lit("w"), 101), " ")
+    make = lambda p: F.when(F.col("item_id") % 3 != 0, F.col("text")).when(p.contains("rules"), "rules kept").otherwise(long)
+    return EN.made_valid(x, make, EN.valid_context, "value").select("item_id", "value", "ok")
+
+
+@query("SELECT DISTINCT text FROM benchmark WHERE text NOT IN (SELECT text FROM benchmark WHERE item_id % 2 = 0)")
+def missing_vectors(spark, d):
+    b = t(spark, d, "benchmark")
+    cache = b.where("item_id % 2 = 0").select(F.lit("m").alias("model"), "text").unionByName(b.select(F.lit("other").alias("model"), "text"))
+    return VC.missing_texts(b, cache, "m")
+
+
+_MANIFEST = """s AS (SELECT source AS chapter, CASE WHEN doc_id % 5 = 0 THEN 'puntero_tabla' ELSE 'prosa' END AS kind, doc_id AS page, CASE WHEN doc_id % 2 = 0 THEN doc_id + 3 END AS page_end, n_chars FROM documents WHERE source IS NOT NULL),
+k AS (SELECT DISTINCT chapter, (page % 7) || '-1' AS caption FROM s WHERE kind = 'puntero_tabla'), f AS (SELECT DISTINCT chapter, (page % 7) || '-1' AS caption FROM s WHERE kind = 'puntero_tabla' AND page % 3 = 0),
+l AS (SELECT k.chapter, count(*) AS n_tables, string_agg(CASE WHEN f.caption IS NULL THEN k.caption END, ',' ORDER BY k.caption) AS lost FROM k LEFT JOIN f ON f.chapter = k.chapter AND f.caption = k.caption GROUP BY k.chapter),
+w AS (SELECT chapter, string_agg(page::VARCHAR, ',' ORDER BY page) AS worst FROM (SELECT chapter, page, row_number() OVER (PARTITION BY chapter ORDER BY n_chars, page) AS r FROM s) WHERE r <= 3 GROUP BY chapter)"""
+
+
+@query(f"""WITH {_MANIFEST} SELECT s.chapter, min(page) AS first_page, max(coalesce(page_end, page)) AS last_page, count(*) FILTER (kind = 'prosa') AS n_sections, count(*) FILTER (kind <> 'prosa') AS n_pointers,
+  coalesce(any_value(n_tables), 0) AS n_tables, coalesce(any_value(lost), '') AS lost_tables, any_value(worst) AS worst_pages FROM s LEFT JOIN l USING (chapter) LEFT JOIN w USING (chapter) GROUP BY s.chapter""")
+def manifest_counts(spark, d):
+    x = t(spark, d, "documents").where("source is not null").select(F.col("source").alias("chapter"), F.when(F.col("doc_id") % 5 == 0, "puntero_tabla").otherwise("prosa").alias("kind"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 3).alias("page_end"), F.col("n_chars").cast("double").alias("score"))
+    tables = x.where("kind = 'puntero_tabla'").withColumn("caption", F.concat((F.col("page") % 7).cast("string"), F.lit("-1")))
+    m = IN.manifest(x, tables.select("chapter", "caption").distinct(), tables.where("page % 3 = 0").select("chapter", "caption").distinct(), x.select("chapter", "page", "score"))
+    return m.withColumns({"lost_tables": F.array_join("lost_tables", ","), "worst_pages": F.array_join(F.col("worst_pages").cast("array<string>"), ",")})
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'apuntes' ELSE printf('cap-%02d', doc_id % 30) END AS review, n_chars, string_split('## ' || doc_id || ' · ' || source || chr(10) || '*' || n_chars || ' tokens*' || chr(10) || chr(10) || text || chr(10), chr(10)) AS l FROM documents)
+SELECT review, doc_id, (k - 1)::INTEGER AS ord, md5(l[k]) AS line FROM (SELECT *, unnest(generate_series(1, len(l))) AS k FROM d)""")
+def review_markdown(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", "apuntes").otherwise("manual").alias("corpus"), (F.col("doc_id") % 30).cast("int").alias("chapter"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), "text", F.col("n_chars").alias("n_tokens"))
+    return C.review_lines(x, ["doc_id"]).withColumn("line", F.md5("line"))

@@ -13,7 +13,9 @@ from tessera.operators import evaluate as EV
 from tessera.operators import index as IX
 from tessera.operators import ingest as IN
 from tessera.operators import retrieve as R
-from tessera.plans.config import RetrievalConfig, parse_request
+from tessera.plans import config as CF
+from tessera.plans import retrieval as RT
+from tessera.plans.config import parse_request
 from tessera.sources import tables as TB
 from tessera.streaming import dialogue as DI
 
@@ -167,10 +169,14 @@ def test_answer_prompts_and_windows(spark):
 
 
 def test_config_and_requests():
-    c = RetrievalConfig("combined", "contextual", "qwen8b", "hibrida", 10, rerank=True)
-    assert (c.run_id, c.collection, c.candidates) == ("combined-512-contextual-qwen8b-hibrida-k10-rerank", "combined-512-contextual-qwen8b", 20)
+    c = CF.settings(**CF.BEST)
+    assert (CF.run_name(c), CF.collection(c), CF.candidates(c)) == ("combined-512-contextual-qwen8b-hibrida-k10-rerank", "combined-512-contextual-qwen8b", 20)
+    for bad in (CF.BEST | {"k": 4}, CF.BEST | {"colour": "red"}, {k: v for k, v in CF.BEST.items() if k != "corpus"}):
+        with pytest.raises(ValueError):
+            CF.settings(**bad)
+    assert len(list(CF.grid(search="densa", k=5))) == 36
     with pytest.raises(ValueError):
-        RetrievalConfig("combined", "contextual", "qwen8b", "hibrida", 4)
+        CF.grid(embedding="none")
     good = {"question": "q", "history": [["a", "b"]], "model": "m", "config": {"corpus": "manual", "extras": "base", "embedding": "bgem3", "search": "densa", "k": 3}}
     assert parse_request(good, ("m",))[0] == [("a", "b")]
     for bad in ({"question": " "}, {"history": [["a"]]}, {"model": "x"}, {"config": {}}):
@@ -245,6 +251,6 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame(vectors, "id long, vector array<double>")
     queries = spark.createDataFrame(vectors[:10], "query_id long, q array<double>")
     want = sorted(map(tuple, R.dense_top(queries, rows, 3).collect()))
-    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    monkeypatch.setattr(R, "MAX_NUMBERS", 16)
     got = sorted(map(tuple, R.dense_top(queries, rows, 3).collect()))
     assert got == want and len(got) == 30
