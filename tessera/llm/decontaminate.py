@@ -84,9 +84,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     window is hit.  hits: sorted array of (first word, one past the last word), a
     span for each window found; they may overlap.
 
-    Null text or item text has no words.  Null item_id counts as an item with an
-    empty name.  Repeated rows are judged alike.  Empty tables: no hits, or no
-    rows.  Columns of docs are kept; added names win.
+    Null text or item text has no words; texts of any length are read whole.
+    Null item_id counts as an item with an empty name.  Repeated rows are judged
+    alike.  Empty tables: no hits, or no rows.  Columns of docs are kept; added
+    names win.
     """
     made = ("n_words", "n_hit", "n_items", "item_ids", "contaminated", "hits", "_key", "_terms", "_found")
     docs = docs.select(*[c for c in docs.columns if c not in made], row_key(F.col("doc_id"), F.col("text")).alias("_key"))
@@ -111,18 +112,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def proximity(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
-    """Rows (query_id, key, first, last): the least spans of at most `within` words from one of a query's two rarest terms to the other, either way round.
-
-    docs: (key, terms); queries: (query_id, terms).  The two lists are joined on
-    blocks of `within` positions, so only neighbours meet.
+    """Rows (query_id, key, first, last): spans of at most `within` words of a row that hold all of a query's terms, in any order.
+
+    docs: (key, terms); queries: (query_id, terms).  The lists of a query's two
+    rarest terms are joined on blocks of `within` positions, so only neighbours
+    meet; around each such pair the text is looked at for the others.  first is
+    where a span begins, at one of the query's terms; last is the least end.
+    A query of one term is found wherever that stands; one without terms, or
+    with a term that no row has, nowhere.
     """
-    spots = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    queries = queries.select("query_id", F.array_distinct("terms").alias("asked")).where(F.size("asked") > 0)
+    spots = queries.select("query_id", F.size("asked").alias("m"), F.explode("asked").alias("term"))
     frequency = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(small(spots.select("term").distinct(), BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n_docs"))
+    found = cut(spots.join(frequency, "term"))
+    alive = found.groupBy("query_id", "m").agg(F.count("*").alias("n")).where("n = m").select("query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("n_docs", "term"))
-    ranked = spots.join(frequency, "term").withColumn("rank", rank).where("rank <= 2")
+    ranked = cut(found.join(alive, "query_id").withColumn("rank", rank).where("rank <= 2").select("query_id", "term", "rank", "m"))
     p = postings(docs, ranked.select("term").distinct()).join(small(ranked, BROADCAST_ROWS), "term").withColumn("block", F.floor(F.col("pos") / within))
-    a = p.where("rank = 1").select("query_id", "key", F.col("pos").alias("p"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    a = p.where("rank = 1").select("query_id", "key", "m", F.col("pos").alias("p"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     b = p.where("rank = 2").select("query_id", "key", F.col("pos").alias("q"), "block")
-    near = a.join(b, ["query_id", "key", "block"]).where(F.abs(F.col("p") - F.col("q")) < within)
-    near = near.select("query_id", "key", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("last"))
-    return near.groupBy("query_id", "key", "first").agg(F.min("last").alias("last"))
+    near = a.join(b, ["query_id", "key", "block"], "left").where(F.coalesce(F.abs(F.col("p") - F.col("q")) < within, F.col("m") == 1))
+    near = near.groupBy("query_id", "key").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    x = near.join(docs, "key").join(queries, "query_id")
+    # each place near a rarest term that holds one of the terms may open a span
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - within + 1, F.lit(0)), i))))
+    opens = F.filter(starts, lambda i: F.array_contains(F.col("asked"), F.get("terms", i)))
+    last = lambda i: i + F.array_max(F.transform("asked", lambda w: F.array_position(F.slice("terms", i + 1, within), w))).cast("int") - 1
+    whole = F.filter(opens, lambda i: F.size(F.array_except("asked", F.slice("terms", i + 1, within))) == 0)
+    x = x.select("query_id", "key", F.explode(F.transform(whole, lambda i: F.struct(i.alias("first"), last(i).alias("last")))).alias("s"))
+    return x.select("query_id", "key", "s.first", "s.last")

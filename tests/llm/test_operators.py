@@ -274,9 +274,19 @@ def test_decontamination(spark, edge, edge_rows, nothing):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a x x b"), (2, "b a"), (3, "a x x x x x b")], "key int, text string").select("key", decontaminate.terms(F.col("text")).alias("terms"))
-    q = spark.createDataFrame([(7, ["a", "b"])], "query_id int, terms array<string>")
-    assert sorted((r.key, r["first"], r["last"]) for r in decontaminate.proximity(docs, q, 4).collect()) == [(1, 0, 3), (2, 0, 1)]
+    rng = random.Random(4)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    asked = [["a", "b"], ["h"], ["c", "c", "d", "e"], ["a", "z"], [], ["a", "b", "c", "d", "e"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key int, terms array<string>").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, terms array<string>")
+    want = set()
+    for q, terms in enumerate(asked):
+        for k, t in enumerate(texts):
+            for i, w in enumerate(t):
+                if w in terms and set(terms) <= set(t[i : i + 6]):
+                    want.add((q, k, i, i + max(t[i : i + 6].index(x) for x in terms)))
+    got = [(r.query_id, r.key, r["first"], r["last"]) for r in decontaminate.proximity(docs, queries, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {q for q, *_ in want} == {0, 1, 2, 5}
 
 
 def test_licenses(spark, edge, edge_rows, nothing):
