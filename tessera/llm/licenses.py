@@ -79,9 +79,10 @@ def scan_licenses(docs: DataFrame, sentences_of: dict[str, str] | None = None, r
     several in a row: published texts are wrapped at any blank, and have stops
     inside a sentence ("v. 2.0", "free software; you can").  A blank line ends
     it.  n_sentences counts pieces.  Unknown sentences between known ones don't
-    break a rule's order.  A null or empty text has none of either.  Works on
-    one row at a time, without a shuffle.  Every row stays; added names win over
-    the input's.
+    break a rule's order.  A null or empty text has none of either; a text of any
+    length is read whole.  Works on one row at a time, without a shuffle:
+    repeated rows are scanned alike, an empty table stays empty.  Every row
+    stays; added names win over the input's.
     """
     known, rules = sentences_of or SENTENCES, rules or RULES
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
