@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import meeting
 from . import symbols as S
 from .common import Tables, small
-from .counters import add_up, packed, pieces
+from .counters import add_up, frugal, packed, pieces
 
 #: Documents of one piece of a batch, in bytes.
 PIECE_BYTES = 2_000_000
@@ -91,7 +91,7 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
         made = [none, none, none, [k for k, _ in out], [p for _, p in out]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, k int, part binary")
+    return docs.mapInArrow(frugal(run), "doc_id long, node long, n_shingles long, k int, part binary")
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, scale) -> DataFrame:
@@ -118,7 +118,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, scale) -> DataFrame:
                 made = [part.column("doc_id"), _nodes(sets), [len(s) for s in sets], bins, prefix]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, bins binary, prefix binary")
+    return docs.mapInArrow(frugal(run), "doc_id long, node long, size long, bins binary, prefix binary")
 
 
 class _Prefixes:
@@ -296,7 +296,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, leaders: DataFrame, n: int, num
     either = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # 16 bytes a row; of more rows than that, the texts are shuffled
     wanted = small(either.join(leaders, "node"), 2_000_000)
-    sets = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, node long, items array<bigint>")
+    sets = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(frugal(run), "doc_id long, node long, items array<bigint>")
     sets = sets.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "items")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     x = x.withColumn("n", F.size(F.array_intersect("x", "y")))
@@ -334,7 +334,7 @@ def _pivot_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     heads = leads.groupBy("shingle").agg(F.max(head).alias("p"), F.count("*").alias("m")).where("m > 1")
     heads = heads.select("shingle", "m", *[F.col(f"p.{c}").alias(f"{c}2") for c in ("node", "size", "pos", "bins")])
     rows = leads.join(heads, "shingle").where("node <> node2").select(*[c + x for x in ("", "2") for c in ("node", "size", "pos", "bins")], "m")
-    near = rows.mapInArrow(_with_pivots(num, den), "node long, pivot long, m long")
+    near = rows.mapInArrow(frugal(_with_pivots(num, den)), "node long, pivot long, m long")
     best = near.groupBy("node").agg(F.max(F.struct("m", "pivot")).alias("x"), F.min(F.struct("m", "pivot")).alias("y"))
     pairs = best.select("node", F.explode(F.array_distinct(F.array("x.pivot", "y.pivot"))).alias("pivot"))
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -358,7 +358,7 @@ def _rest_pairs(tables: Tables, postings: DataFrame, labels: DataFrame, num: int
     cells = rows.withColumn("cell", F.explode(F.concat(as_member, others)))
     cells = cells.select("shingle", "cell.*", "node", "size", "pos", "component", "outside", "bins")
     cells = cells.repartition("shingle", "block", "query").sortWithinPartitions("shingle", "block", "query")
-    return cells.mapInArrow(_meet(num, den), "a long, b long").distinct()
+    return cells.mapInArrow(frugal(_meet(num, den)), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -387,8 +387,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
         buckets = n_batches // 4 + 1
         prefixes = _prefixes(docs, n, num, den, scale).join(leaders, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
         by_batch = prefixes.select("node", "size", "bins", "prefix", F.pmod(F.xxhash64("node"), F.lit(n_batches)).alias("batch")).groupBy("batch")
-        bits = meeting.answers(by_batch.applyInArrow(_ask(buckets), meeting.KEYS))
-        postings = tables.write(by_batch.cogroup(bits.groupBy("batch")).applyInArrow(_post(buckets), _POSTINGS))
+        bits = meeting.answers(by_batch.applyInArrow(frugal(_ask(buckets)), meeting.KEYS))
+        postings = tables.write(by_batch.cogroup(bits.groupBy("batch")).applyInArrow(frugal(_post(buckets)), _POSTINGS))
         twice = some.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
         same = some.join(twice, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
         tried = tables.write(_pivot_pairs(postings, num, den))

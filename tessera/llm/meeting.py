@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .counters import frugal
+
 #: Keys are told apart by so many bytes; two that differ beyond count as one, so what is found this way is to be verified.
 KEY_BYTES = 6
 _KEYS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
@@ -62,7 +64,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def answers(questions: DataFrame) -> DataFrame:
     """Rows (bucket, batch, bits) to rows (bucket, batch, blob)."""
-    return questions.groupBy("bucket").applyInArrow(_answer, BITS)
+    return questions.groupBy("bucket").applyInArrow(frugal(_answer), BITS)
 
 
 def answered(keys: np.ndarray, buckets: int, table: pa.Table) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import symbols as S
 from .common import Tables, row_key
-from .counters import pieces
+from .counters import frugal, pieces
 
 #: Labelled rows that the document classifier is fitted on, at most: those with the least hash of their doc_id.
 MAX_LABELLED = 10_000
@@ -25,7 +25,7 @@ _CLASS = np.array([7 if 0x80 <= b < 0xC0 else next((i for i, c in enumerate(_CLA
 
 
 def evidence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(FEATURES of each whole text, whether each text has words of each bucket); null is empty.  Words are told apart by 44 bits."""
+    """(FEATURES of each whole text, text * BUCKETS + bucket for each bucket that a text has words of); null is empty.  Words are told apart by 44 bits."""
     data, lengths = S.flat(texts)
     kinds = _CLASS[data]
     at = np.flatnonzero(kinds)
@@ -49,16 +49,21 @@ def evidence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         np.bincount(same, minlength=len(texts)) / n,
         np.log1p(lines),
     ])
-    has = np.zeros((len(texts), BUCKETS), bool)
-    has[of, (hashes >> np.uint64(54)).astype(np.int64)] = True
-    return x, has
+    return x, np.unique(of * BUCKETS + (hashes >> np.uint64(54)).astype(np.int64))
 
 
-def _inputs(x: np.ndarray, has: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """The features, their squares, the words (of length 1 together) and a one."""
+def _numbers(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The features and their squares."""
     z = np.clip((x - centre) / scale, -6, 6)
-    word = has / np.sqrt(np.maximum(has.sum(1, keepdims=True), 1))
-    return np.hstack([z, z * z, word, np.ones((len(z), 1))])
+    return np.hstack([z, z * z])
+
+
+def _score(x: np.ndarray, pairs: np.ndarray, centre: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-odds of texts with this evidence; the buckets of a text are a vector of length 1."""
+    k = 2 * x.shape[1]
+    text = pairs // BUCKETS
+    words = np.bincount(text, w[k:-1][pairs % BUCKETS], len(x)) / np.sqrt(np.maximum(np.bincount(text, minlength=len(x)), 1))
+    return _numbers(x, centre, scale) @ w[:k] + words + w[-1]
 
 
 def fit_documents(labelled: DataFrame, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,12 +76,14 @@ def fit_documents(labelled: DataFrame, ridge: float = 3e-3) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in pieces(b):
-                x, has = evidence(part.column("text").to_pylist())
+                x, pairs = evidence(part.column("text").to_pylist())
+                has = np.zeros((len(x), BUCKETS), bool)
+                has.ravel()[pairs] = True
                 made = [pa.array(list(x), pa.list_(pa.float64())), pa.array([np.packbits(h).tobytes() for h in has], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made, part.column("quality")], names=["doc_id", "x", "has", "quality"])
 
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"))
-    rows = rows.mapInArrow(run, "doc_id long, x array<double>, has binary, quality int")
+    rows = rows.mapInArrow(frugal(run), "doc_id long, x array<double>, has binary, quality int")
     sample = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("x", "has", "quality")).alias("r")).select("doc_id", "r.*").collect())
     raw = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
     has = np.array([np.unpackbits(np.frombuffer(r["has"], np.uint8)) for r in sample], bool).reshape(-1, BUCKETS)
@@ -86,7 +93,8 @@ def fit_documents(labelled: DataFrame, ridge: float = 3e-3) -> tuple[np.ndarray,
         p = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(size - 1), np.log(p / (1 - p)))
     centre, scale = raw.mean(0), raw.std(0) + 1e-9
-    x = _inputs(raw, has, centre, scale).astype(np.float32)
+    word = has / np.sqrt(np.maximum(has.sum(1, keepdims=True), 1))
+    x = np.hstack([_numbers(raw, centre, scale), word, np.ones((len(raw), 1))]).astype(np.float32)
     w = np.zeros(size)
     for _ in range(15):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -106,10 +114,10 @@ def _logits(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -
         centre, scale, w = shared.value
         for b in batches:
             for part in pieces(b):
-                logit = _inputs(*evidence(part.column("text").to_pylist()), centre, scale) @ w
+                logit = _score(*evidence(part.column("text").to_pylist()), centre, scale, w)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(logit, -12, 12))], names=[*part.schema.names, "_logit"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_logit", T.DoubleType())]))
+    return rows.mapInArrow(frugal(run), T.StructType([*rows.schema.fields, T.StructField("_logit", T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, parent: Column) -> float:

@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from . import symbols as S
 from .common import row_key
+from .counters import frugal
 
 #: A solver takes strings of symbols and their document numbers; it returns, for each string, the (sorted) first symbols of its repeated windows.
 Solver = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
@@ -439,11 +440,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, solver: Solver, shard_symbols: i
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
     texts = docs.select(rid.alias("rid"), doc.alias("doc"), "text", F.pmod(rid, F.lit(n_batches)).alias("batch"), row.alias("row"))
     by_batch = texts.groupBy("batch")
-    bits = by_batch.applyInArrow(_send_anchors(kind, buckets), _ASKED).groupBy("bucket").applyInArrow(_answer, _BITS)
+    bits = by_batch.applyInArrow(frugal(_send_anchors(kind, buckets)), _ASKED).groupBy("bucket").applyInArrow(frugal(_answer), _BITS)
     bits = bits.withColumn("step", F.lit(1))
-    settled = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(_send_records(kind, buckets), _ASKED).groupBy("bucket").applyInArrow(_settle, _SETTLED)
-    strings = by_batch.cogroup(settled.where(F.octet_length("asked") > 0).groupBy("batch")).applyInArrow(_send_strings(kind, buckets), _STRINGS)
-    solved = strings.groupBy("bucket").applyInArrow(_solve(kind, solver, shard_symbols), _FOUND).withColumn("step", F.lit(3))
+    settled = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(frugal(_send_records(kind, buckets)), _ASKED).groupBy("bucket").applyInArrow(frugal(_settle), _SETTLED)
+    strings = by_batch.cogroup(settled.where(F.octet_length("asked") > 0).groupBy("batch")).applyInArrow(frugal(_send_strings(kind, buckets)), _STRINGS)
+    solved = strings.groupBy("bucket").applyInArrow(frugal(_solve(kind, solver, shard_symbols)), _FOUND).withColumn("step", F.lit(3))
     found = bits.unionByName(settled.drop("asked").withColumn("step", F.lit(2)), allowMissingColumns=True).unionByName(solved, allowMissingColumns=True)
     schema = T.StructType([T.StructField("row", texts.schema["row"].dataType), *[T.StructField(n, T.LongType()) for n in ("n_symbols", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
-    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(_apply(kind, buckets, with_text), schema.add("kept_text", T.StringType()) if with_text else schema)
+    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(frugal(_apply(kind, buckets, with_text)), schema.add("kept_text", T.StringType()) if with_text else schema)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import symbols as S
-from .counters import counted, pieces
+from .counters import counted, frugal, pieces
 
 #: Labelled rows that the classifier is fitted on, at most, of either kind: those with the least hash of their doc_id.
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 14_000
@@ -127,7 +127,7 @@ def _sets(sample: DataFrame, known: np.ndarray) -> list[tuple[bool, np.ndarray]]
                 sets = np.split(column, np.searchsorted(text, np.arange(1, part.num_rows)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "positive", "s"])
 
-    rows = sample.select("doc_id", "text", "positive").mapInArrow(run, T.StructType([sample.schema["doc_id"], sample.schema["positive"], T.StructField("s", T.BinaryType())]))
+    rows = sample.select("doc_id", "text", "positive").mapInArrow(frugal(run), T.StructType([sample.schema["doc_id"], sample.schema["positive"], T.StructField("s", T.BinaryType())]))
     found = rows.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.min("s").alias("s")).collect()
     return [(r["positive"], np.frombuffer(r["s"], "<u4")) for r in sorted(found)]
 
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -422,7 +422,7 @@ def test_posteriors_against_a_plain_version(spark):
 def test_evidence_counts():
     x, has = quality_model.evidence(["Ab ab 1 | é!\n# ab ab", None, ""])
     assert x[0].tolist() == pytest.approx([np.log1p(8), 13 / 8, 2 / 20, 1 / 20, 1 / 20, 1 / 20, 1 / 20, 5 / np.sqrt(8 * np.log1p(8)), 2 / 8, np.log1p(1)])
-    assert not x[1].any() and (x[1] == x[2]).all() and has.sum(1).tolist()[1:] == [0, 0] and 1 <= has[0].sum() <= 5
+    assert not x[1].any() and (x[1] == x[2]).all() and 1 <= len(has) <= 5 and not (has // quality_model.BUCKETS).any()
 
 
 def test_toxicity(spark, edge, edge_rows, nothing):
