@@ -8,10 +8,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-
-def parent_texts(sections: DataFrame, parent: list[str], page: str, order: str, text: str) -> DataFrame:
-    """The prose of each parent document in the order of pages, as it came within one; pages that are null count as 0."""
-    return sections.groupBy(*parent).agg(X.joined(F.struct(F.coalesce(page, F.lit(0)), F.col(order)), F.col(text), "\n\n").alias("parent_text"))
+#: Characters of one part of a parent document.
+PART_CHARS = 1_000_000
+
+
+def parent_parts(sections: DataFrame, parent: list[str], page: str, order: str, text: str, size: int = PART_CHARS) -> DataFrame:
+    """(parent, part, text): the prose of each parent document in the order of pages, as it came within one, in parts.
+
+    A part ends with the section that takes it over `size` characters, so no
+    parent has to fit into a string or a task: lengths before a section are
+    summed up within its page, and page by page.  Pages that are null count as 0.
+    """
+    x = sections.withColumns({"_page": F.coalesce(page, F.lit(0)), "_length": F.coalesce(F.length(text), F.lit(0)).cast("long")})
+    keys = [*parent, "_page"]
+    totals = x.groupBy(*keys).agg(F.sum("_length").alias("_total"))
+    before = F.sum("_total").over(W.partitionBy(*parent).orderBy("_page").rowsBetween(W.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_length").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    on = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)]
+    x = x.join(totals, on).withColumn("part", F.floor((F.col("_before") + F.col("_inside")) / size))
+    return x.groupBy(*parent, "part").agg(X.joined(F.struct("_page", F.col(order)), F.col(text), "\n\n").alias("text"))
 
 
 def same_parent(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:

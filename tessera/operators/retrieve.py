@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
+from ..sources.tables import staged
 
 #: BM25's parameters, the share of the mean idf that a negative one becomes, and fusion's constant.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -116,20 +117,20 @@ def bm25_top(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     tokens = docs.select("id", X.tokens(F.col("text")).alias("t"))
     sizes = tokens.select(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_length")).first()
     n_docs, mean_length = sizes["n_docs"], sizes["mean_length"] or 1.0
-    # read twice: for the mean and for the asked terms; kept, spilling to disk, rather than counted again
-    frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).persist()
+    # read twice: for the mean and for the asked terms
+    frequency = staged(tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     idf = frequency.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = idf.select(F.avg("raw")).first()[0] or 0.0
     idf = idf.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(idf, "term").persist()
+    asked = staged(asked.join(idf, "term"))
     # postings of asked terms only leave the scan
     wanted = asked.select("term").distinct()
     wanted = F.broadcast(wanted) if wanted.limit(200_001).count() <= 200_000 else wanted
     postings = tokens.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
     scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    best = top(scored, "query_id", "id", F.col("score"), n).drop("rank").persist()  # n rows a query
+    best = staged(top(scored, "query_id", "id", F.col("score"), n).drop("rank"))  # n rows a query
     # queries with fewer hits than n are filled up with the smallest ids that have score 0
     short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("k")), "query_id", "left").where(F.coalesce("k", F.lit(0)) < n).select("query_id")
     first = docs.select("id").orderBy("id").limit(2 * n)

@@ -220,10 +220,11 @@ def duplicate_ids(spark, d):
 # --- enrichment and index -------------------------------------------------
 
 
-@query("SELECT lang, source, md5(string_agg(text, chr(10) || chr(10) ORDER BY coalesce(n_chars, 0), doc_id)) AS digest FROM documents GROUP BY lang, source")
+@query("""WITH s AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY lang, source ORDER BY coalesce(n_chars, 0), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT lang, source, (before // 20000)::BIGINT AS part, md5(string_agg(text, chr(10) || chr(10) ORDER BY coalesce(n_chars, 0), doc_id)) AS digest FROM s GROUP BY lang, source, before // 20000""")
 def parent_document(spark, d):
-    x = EN.parent_texts(t(spark, d, "documents"), ["lang", "source"], "n_chars", "doc_id", "text")
-    return x.select("lang", "source", F.md5("parent_text").alias("digest"))
+    x = EN.parent_parts(t(spark, d, "documents"), ["lang", "source"], "n_chars", "doc_id", "text", 20_000)
+    return x.select("lang", "source", "part", F.md5("text").alias("digest"))
 
 
 @query("""

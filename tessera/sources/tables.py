@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="tessera-")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what is read more than once, or must outlive an executor, is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False) -> DataFrame:
     """Typed rows of JSON lines; blank lines are skipped, other rows must parse."""
     if missing_ok and not exists(spark, path):
