@@ -96,6 +96,15 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_near): benchmark items of which all words of a ten-word window stand within twenty words of a document, in any order."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), decontaminate.terms(F.col("text")).alias("terms"))
+    asked = decontaminate.windows(table(spark, sf_dir, "benchmark"), 10)
+    near = decontaminate.proximity(docs, asked.select(F.col("window_id").alias("query_id"), "terms"), 20).select("query_id", "key").distinct()
+    items = near.join(asked.select("window_id", F.explode("items").alias("item")), F.col("query_id") == F.col("window_id")).select("key", "item").distinct()
+    return items.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_near"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"), min_docs=5).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_cut", "kept")
 
@@ -155,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
+        "benchmark_proximity": benchmark_proximity,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
     }

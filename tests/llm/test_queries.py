@@ -34,6 +34,22 @@ def test_op7(spark, texts):
     assert got == brute.repeats(texts, "bytes", 50)
 
 
+def test_benchmark_proximity(spark, texts):
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    windows = {(k, frozenset(w[i : i + 10])) for k, w in items.items() for i in range(max(len(w) - 9, 1)) if w}
+    want = {}
+    for d, t in texts:
+        w = words(t)
+        have = set(w)
+        near = {k for k, x in windows if x <= have and any(x <= set(w[i : i + 20]) for i in range(len(w)))}
+        if near:
+            want[d] = len(near)
+    assert {r.doc_id: r.n_near for r in Q.benchmark_proximity(spark, SF).collect()} == want and want
+
+
 def test_op4_accepts_good_documents_and_rejects_junk(spark):
     d = SF.replace("sf0.001", "sf0.01")
     x = Q.op4_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("quality", "accepted").count().collect()
