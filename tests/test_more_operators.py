@@ -172,3 +172,22 @@ def test_service(tmp_path):
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/") as r:
         assert r.status == 200 and b"/api/chat" in r.read()
     server.shutdown()
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_token_counters(spark, name):
+    import os
+
+    from tessera.functions import tokens as TK
+
+    folder = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+    if not os.path.exists(f"{folder}/{name}"):
+        pytest.skip("no vocabulary here")
+    counter = TK.load_counter(spark, f"{folder}/{name}")
+    text = "\n\n".join(f"The diver number {i} ascends slowly, at nine metres a minute." for i in range(40))
+    rows = spark.createDataFrame([("s", text), ("t", "short"), ("u", None)], "id string, text string").withColumn("section_ids", F.array("id"))
+    assert [r.n for r in rows.select(TK.n_tokens(counter, F.col("text")).alias("n")).collect()][1:] == [counter("short"), 0]
+    parts = C.split_at_cap(rows, 60, counter).withColumn("n", TK.n_tokens(counter, F.col("text"))).collect()
+    long = [r for r in parts if r.section_ids == ["s"]]
+    assert len(long) > 5 and max(r.n for r in long) <= 60 and " ".join(r.text for r in long).split() == text.split()
+    assert [r.chunk_id for r in parts if r.section_ids == ["t"]] == ["t"]
