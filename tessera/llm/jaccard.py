@@ -16,6 +16,7 @@ component need no look, all others get one: no link between components is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ PIECE_BYTES = 2_000_000
 COUNTERS = 1 << 21
 #: Ranges of shingles, by hash, for the suffix filter; and how many of them are one coarse range.
 BINS, COARSE = 64, 8
-#: Bytes of texts of which the prefixes go to one batch.
-BATCH_BYTES = 16_000_000
+#: Bytes of texts of which the prefixes go to one batch, at least; it grows with the root of the input, as do the rows that a batch sends.
+BATCH_BYTES = 4_000_000
+#: Batches for each bucket of keys.
+PER_BUCKET = 8
 #: Shared shingles of a class that are held against pivots.
 LEADS = 3
 #: Classes of one shingle that meet in one block.
@@ -383,8 +386,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
         some = rows.where("n_shingles > 0 and doc_id is not null")
         leaders = tables.write(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
         total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        n_batches = int(total // BATCH_BYTES) + 1
-        buckets = n_batches // 4 + 1
+        n_batches = int(total // max(BATCH_BYTES, 8 * math.isqrt(total))) + 1
+        buckets = n_batches // PER_BUCKET + 1
         prefixes = _prefixes(docs, n, num, den, scale).join(leaders, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
         by_batch = prefixes.select("node", "size", "bins", "prefix", F.pmod(F.xxhash64("node"), F.lit(n_batches)).alias("batch")).groupBy("batch")
         bits = meeting.answers(by_batch.applyInArrow(frugal(_ask(buckets)), meeting.KEYS))

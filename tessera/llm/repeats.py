@@ -31,6 +31,7 @@ goes between batches and buckets are a few packed rows for each batch.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -48,9 +49,10 @@ from .counters import frugal
 #: A solver takes strings of symbols and their document numbers; it returns, for each string, the (sorted) first symbols of its repeated windows.
 Solver = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 
+#: Bytes of a batch, at least; it grows with the root of the input, as do the rows that a batch sends.
 BATCH_BYTES = 2_000_000
 #: Batches for each bucket; a bucket's keys are in proportion to that, at any input size.
-PER_BUCKET = 16
+PER_BUCKET = 8
 #: Symbols of one piece of a batch; pieces overlap by window - 1 symbols.
 PIECE = 1_000_000
 #: An anchor with more different runs than this is dealt out window by window.
@@ -434,7 +436,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, solver: Solver, shard_symbols: i
     """
     rid = row_key(F.col("doc_id"), F.col("text"))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches = int(total // BATCH_BYTES) + 1
+    n_batches = int(total // max(BATCH_BYTES, 4 * math.isqrt(total))) + 1
     buckets = n_batches // PER_BUCKET + 1
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"])

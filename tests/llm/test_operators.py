@@ -164,6 +164,8 @@ def test_jaccard_links_large_groups(spark, monkeypatch):
     """Near copies at about the threshold, in blocks that are smaller than their group; repeated rows; texts of one doc_id."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "CHUNK", 1 << 9)
+    monkeypatch.setattr(jaccard, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(jaccard, "PER_BUCKET", 2)
     rng = random.Random(9)
     word = lambda: f"w{rng.randint(0, 5000)}"
     rows, base = [], [[word() for _ in range(90)] for _ in range(3)]
