@@ -128,7 +128,9 @@ class _Prefixes:
     """The prefixes of a batch of classes, flat: key, bin, class number and place of each shingle."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by([("node", "ascending")])
+        # rows that repeat doc_id and text are one class
+        _, first = np.unique(table["node"].to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
         self.node, self.size = table["node"].to_numpy(), table["size"].to_numpy()
         blobs = table["prefix"].to_pylist()
         raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, meeting.KEY_BYTES + 1)
@@ -388,7 +390,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
         total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
         n_batches = int(total // max(BATCH_BYTES, 8 * math.isqrt(total))) + 1
         buckets = n_batches // PER_BUCKET + 1
-        prefixes = _prefixes(docs, n, num, den, scale).join(leaders, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+        prefixes = _prefixes(docs, n, num, den, scale).join(leaders, ["node", "doc_id"], "left_semi")
         by_batch = prefixes.select("node", "size", "bins", "prefix", F.pmod(F.xxhash64("node"), F.lit(n_batches)).alias("batch")).groupBy("batch")
         bits = meeting.answers(by_batch.applyInArrow(frugal(_ask(buckets)), meeting.KEYS))
         postings = tables.write(by_batch.cogroup(bits.groupBy("batch")).applyInArrow(frugal(_post(buckets)), _POSTINGS))

@@ -95,3 +95,27 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in fresh.collect()} - hit
     mixed = by_name["mix"](spark, clean, SF)
     assert 0 < mixed.count() <= clean.count()
+
+
+def test_stages_on_odd_rows(spark, edge, edge_rows, nothing):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables, and extra columns named like the operators' own."""
+    import corpus_pipeline as P
+    from tessera.llm import common as C
+
+    docs = C.cut(edge)
+    for name, stage in P.STAGES:
+        empty = stage(spark, nothing, SF)
+        assert empty.count() == 0
+        out = C.cut(stage(spark, docs, SF))
+        rows = out.collect()
+        if name == "mix":
+            assert set(out.columns) == set(docs.columns) | {"source_size", "target", "taken"} and all(r.taken % r["size"] == 0 for r in rows)
+            continue
+        assert out.columns == docs.columns and out.schema["text"] == docs.schema["text"]
+        assert {(r.doc_id, r.key) for r in rows} <= {(r[0], r[9]) for r in edge_rows}
+        if name == "near_duplicates":
+            ids = [r.doc_id for r in rows if r.doc_id is not None]
+            assert len(ids) == len(set(ids)) and {2, 3, 5, 6} <= set(ids) and not {1, 7, 9} & set(ids)
+        if name == "repeated_passages":
+            by = {(r.doc_id, r.key): r.text for r in rows}
+            assert (7, "e") not in by and by[0, "e"] == edge_rows[0][1] and by[2, "e"] is None and by[9, "e"] == "more"
