@@ -24,7 +24,9 @@ SECTION_START = r"^(\d+-\d+(?:\.\d+)*)\s"
 TITLE_END = r"(?<=[A-Za-z]{3})\.\s+(?=[A-Z])"
 TITLE_WORDS, TITLE_CHARS = 15, 120
 
+#: Words; and a number before a unit, with decimals after either mark, that no letter, digit, slash or mark goes before or after.
 WORD = r"[\p{L}\p{N}_]+"
+NUMBER_UNIT = r"(?iU)(?<![\w/,.])(\d+(?:[.,]\d+)?)\s*({units})(?![\w/º°%])"
 
 
 def strip(c: Column) -> Column:
@@ -75,7 +77,7 @@ def canonical_unit(c: Column) -> Column:
 def unit_pairs(c: Column) -> Column:
     """Array of (number, unit), canonical and in order, for each number with a known unit in the text."""
     spellings = sorted((s for all_of in UNITS.values() for s in all_of), key=len, reverse=True)
-    pattern = F.lit(rf"(?iU)(?<![\w/,.])(\d+(?:[.,]\d+)?)\s*({'|'.join(spellings)})(?![\w/º°%])")
+    pattern = F.lit(NUMBER_UNIT.format(units="|".join(spellings)))
     zipped = F.arrays_zip(F.regexp_extract_all(c, pattern, 1).alias("number"), F.regexp_extract_all(c, pattern, 2).alias("unit"))
     return F.transform(zipped, lambda p: F.struct(canonical_number(p["number"]).alias("number"), canonical_unit(p["unit"]).alias("unit")))
 

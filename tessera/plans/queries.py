@@ -410,8 +410,9 @@ def _grid(spark):
     return x.withColumn("hit_rate", (F.conv(F.substring(F.md5("run_id"), 1, 4), 16, 10).cast("int") % 1000) / 1000.0)
 
 
-_GRID = """grid AS (SELECT 512 AS cap, corpus, extras, embedding, search, k, rerank, corpus || '-512-' || extras || '-' || embedding || '-' || search || '-k' || k || CASE WHEN rerank THEN '-rerank' ELSE '' END AS run_id
-FROM (SELECT unnest(['apuntes', 'manual', 'combined']) AS corpus), (SELECT unnest(['base', 'contextual', 'hype']) AS extras), (SELECT unnest(['bgem3', 'qwen06b', 'qwen8b', 'openai3large']) AS embedding), (SELECT unnest(['densa', 'hibrida']) AS search), (SELECT unnest([3, 5, 10]) AS k), (SELECT unnest([false, true]) AS rerank)),
+_VALUES = ", ".join(f"(SELECT unnest({[*v]!r}) AS {n})" for n, v in (CF.ALLOWED | {"rerank": (False, True)}).items())
+_GRID = f"""grid AS (SELECT 512 AS cap, corpus, extras, embedding, search, k, rerank, corpus || '-512-' || extras || '-' || embedding || '-' || search || '-k' || k || CASE WHEN rerank THEN '-rerank' ELSE '' END AS run_id
+FROM {_VALUES}),
 runs AS (SELECT *, (('0x' || left(md5(run_id), 4))::INTEGER % 1000) / 1000.0::DOUBLE AS hit_rate FROM grid)"""
 
 
