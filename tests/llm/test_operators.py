@@ -479,3 +479,29 @@ def test_bounds_of_the_toxicity_sample(spark):
     labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS toxic")
     rows = toxicity.score(docs, toxicity.train(docs, labels, max_positive=100, max_unlabelled=300)).collect()
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in rows) >= 1590
+
+
+@pytest.mark.parametrize("name,gram", [("bytes", 16), ("words", 8)])
+def test_runs_work_in_pieces_of_cache_size(name, gram):
+    import tracemalloc
+
+    from tessera.llm import repeats as R
+
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 70_000, 3, 50, 0, 1_900_000, 49, 51, 300_000, 0])
+    symbols = rng.integers(97, 123, int(counts.sum())).astype(np.uint8 if name == "bytes" else np.uint64)
+    kind = R.Kind(name, 50, gram)
+    tracemalloc.start()
+    anchors = kind.runs(symbols, counts, content=False, sides=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(x.nbytes for x in anchors) + 8_000_000
+    runs = kind.runs(symbols, counts)
+    assert not len(anchors.content) and not len(anchors.left)
+    assert all(np.array_equal(a, b) for a, b in zip(anchors[:4], runs[:4], strict=True))
+    # every window of every text is in one run
+    ends = np.cumsum(counts)
+    wanted = [np.arange(e - n, e - 49) for e, n in zip(ends, counts, strict=True) if n >= 50]
+    have = [np.arange(a, b + 1) for a, b in zip(runs.first, runs.last, strict=True)]
+    assert np.array_equal(np.concatenate(have), np.concatenate(wanted))
+    assert ((ends - counts)[runs.text] <= runs.first).all() and (runs.last + 50 <= ends[runs.text]).all()
