@@ -35,14 +35,15 @@ def top(scored: DataFrame, query: str, item: str, score: Column, n: int) -> Data
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
-def dense_top(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+def dense_top(queries: DataFrame, rows: DataFrame, n: int, undefined: float = 1.0) -> DataFrame:
     """(query_id, id, distance, rank): by cosine distance, from queries (query_id, q) and rows (id, vector).
 
     Exact: every row meets every query of the stated set, a batch of rows and a
     block of queries at a time, as one product of matrices; a task keeps the n
     best of its rows for each query.  A block has MAX_NUMBERS numbers at most,
     and goes to all tasks; more queries are searched block by block, each over
-    the rows once.  Null vectors are left out; a vector of zeros is at distance 1.
+    the rows once.  Null vectors are left out.  A vector of zeros has no cosine:
+    it is at distance `undefined`; NaN, as DuckDB has it, comes before all others.
     """
     queries = queries.where("q is not null").select("query_id", "q")
     first = queries.select(F.size("q")).first()
@@ -53,21 +54,23 @@ def dense_top(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     # dealt by hash into blocks of half the number, so that none comes near it; all rows of a query_id are in one
     n_blocks = 1 if total <= per_block else -(-2 * total // per_block)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    found = [_dense_block(queries.where(block == i) if n_blocks > 1 else queries, rows, n) for i in range(n_blocks)]
+    found = [_dense_block(queries.where(block == i) if n_blocks > 1 else queries, rows, n, undefined) for i in range(n_blocks)]
     return top(reduce(DataFrame.unionByName, found), "query_id", "id", -F.col("distance"), n)
 
 
-def _dense_block(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+def _dense_block(queries: DataFrame, rows: DataFrame, n: int, undefined: float) -> DataFrame:
     """(query_id, id, distance) of each task's n nearest rows to each query, ties included."""
     asked = queries.collect()
     matrix = np.array([r["q"] for r in asked], float)
     norms = np.sqrt((matrix * matrix).sum(1, keepdims=True)) if len(asked) else 1.0
-    shared = rows.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], (matrix / np.where(norms > 0, norms, 1)).T if len(asked) else matrix))
+    shared = rows.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], (matrix / np.where(norms > 0, norms, 1)).T if len(asked) else matrix, norms.T == 0 if len(asked) else None))
+    # NaN is the least distance until the rows leave the task
+    given = -np.inf if np.isnan(undefined) else undefined
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
     types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, q, none = shared.value
         best: tuple[np.ndarray, np.ndarray, list] | None = None  # query number, distance, and each hit's id
         for b in batches:
             if not b.num_rows or not len(ids):
@@ -76,6 +79,7 @@ def _dense_block(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
             size = np.sqrt((v * v).sum(1, keepdims=True))
             # to twelve decimals, beyond which the order of additions shows
             distance = np.round(1 - (v / np.where(size > 0, size, 1)) @ q, 12) + 0.0
+            distance[(size == 0) | none] = given
             # with a margin, so that rounding settles ties in one place only
             worst = np.partition(distance, n - 1, axis=0)[n - 1] if len(v) > n else np.full(len(ids), np.inf)
             row, number = np.nonzero(distance <= worst + 2e-9)
@@ -84,7 +88,7 @@ def _dense_block(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
             best = new if best is None else _kept(np.concatenate([best[0], new[0]]), np.concatenate([best[1], new[1]]), best[2] + new[2], n)
         if best is not None:
             number, distance, keys = best
-            made = ([ids[i] for i in number.tolist()], keys, distance)
+            made = ([ids[i] for i in number.tolist()], keys, np.where(np.isinf(distance), np.nan, distance))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, types, strict=True)], schema=types)
 
     return rows.where("vector is not null").select("id", "vector").mapInArrow(run, schema)

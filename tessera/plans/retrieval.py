@@ -14,7 +14,7 @@ from ..operators import retrieve as R
 from .config import candidates, collection, run_name
 
 
-def retrieve(s: dict[str, object], queries: DataFrame, rows: DataFrame, score=R.overlap_score, warn: bool = False) -> DataFrame:
+def retrieve(s: dict[str, object], queries: DataFrame, rows: DataFrame, score=R.overlap_score, warn: bool = False, undefined: float = 1.0) -> DataFrame:
     """(query_id, id, score, rank, score_kind): k chunks for each query, as settings s ask for.
 
     queries: (query_id, text, q); rows: those of a collection (id, entry_type,
@@ -22,9 +22,10 @@ def retrieve(s: dict[str, object], queries: DataFrame, rows: DataFrame, score=R.
     four times as many are fetched where there are any.  A hybrid search fuses
     with BM25 over the chunks; a reranker chooses k among more candidates.  The
     score is a distance, a fused or a reranker's one, as score_kind says.
+    undefined: the distance of vectors of zeros; see dense_top().
     """
     n, hype = candidates(s), s["extras"] == "hype"
-    found = R.dense_top(queries.select("query_id", "q"), rows.select("id", "vector"), R.LEXICAL_FACTOR * n if hype else n)
+    found = R.dense_top(queries.select("query_id", "q"), rows.select("id", "vector"), R.LEXICAL_FACTOR * n if hype else n, undefined)
     if hype:
         parents = rows.select("id", F.coalesce("parent_id", "id").alias("_parent"))
         hits = found.join(parents, "id")

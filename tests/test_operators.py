@@ -254,3 +254,14 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_NUMBERS", 16)
     got = sorted(map(tuple, R.dense_top(queries, rows, 3).collect()))
     assert got == want and len(got) == 30
+
+
+def test_dense_search_states_the_distance_of_zeros(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, q array<double>")
+
+    def found(**more):
+        return [(r["id"], str(r["distance"])) for r in R.dense_top(queries, rows, 3, **more).orderBy("rank").collect()]
+
+    assert found() == [(2, "0.0"), (1, "1.0"), (3, "1.0")]
+    assert found(undefined=float("nan")) == [(1, "nan"), (4, "nan"), (2, "0.0")]

@@ -25,3 +25,23 @@ def test_entry_and_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["retrieve_dense", "retrieve_dense_rerank"])
+def test_documents_without_letters_match_sql(spark, tmp_path, name):
+    """Their vectors are of zeros, which have no cosine."""
+    import duckdb
+    from conftest import _plain
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    bare = docs.where("doc_id < 3").withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.concat(F.lit("12 34 § "), "doc_id")})
+    docs.unionByName(bare).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id < 12").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df, out = QUERIES[name](spark, str(tmp_path)), con.execute(SQL[name])
+    have = [c[0] for c in out.description]
+    want = sorted(tuple(_plain(r[have.index(c)]) for c in df.columns) for r in out.fetchall())
+    assert sorted(tuple(map(_plain, r)) for r in df.collect()) == want
