@@ -51,15 +51,16 @@ def prompts(hits: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
     return x.groupBy("query_id").agg(made.alias("prompt"))
 
 
-def run_turn(s: dict[str, object], turns: DataFrame, rows: DataFrame, embed: Callable[[Column], Column], condense: Callable[[Column, Column], Column], generate: Callable[[Column], Column], allowed: DataFrame) -> DataFrame:
+def run_turn(s: dict[str, object], turns: DataFrame, rows: DataFrame, embed: Callable[[Column], Column], condense: Callable[[Column, Column], Column], generate: Callable[[Column], Column], allowed: DataFrame, undefined: float = 1.0) -> DataFrame:
     """(query_id, query, answer, abstained, history) of turns (query_id, question, history), history an array of (q, a).
 
     The condenser always makes the query, of the last pairs and the question;
     the question as it was asked goes into the new history with the answer.
+    undefined: the distance of vectors of zeros; see dense_top().
     """
     asked = turns.withColumn("query", condense(AN.last_turns(F.col("history")), F.col("question")))
     queries = asked.select("query_id", F.col("query").alias("text"), embed(F.col("query")).alias("q"))
-    made = prompts(retrieve(s, queries, rows), queries, rows)
+    made = prompts(retrieve(s, queries, rows, undefined=undefined), queries, rows)
     answered = AN.answer(asked.join(made, "query_id"), generate, "query_id", allowed)
     pair = F.struct(F.col("question").alias("q"), F.col("answer").alias("a"))
     return answered.select("query_id", "query", "answer", "abstained", F.concat("history", F.array(pair)).alias("history"))
