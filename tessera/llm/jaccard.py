@@ -10,12 +10,17 @@ Only links between components matter, and a shingle of very many near copies
 would make a pair of each two of them.  So each class is first held against the
 pivots of a few of its shingles, which link most of a group; after that a class
 meets those classes of its shingles that lie in another component, block by
-block, and only pairs that pass all filters leave a task.  Pairs inside a
-component need no look, all others get one: no link between components is lost.
+block.  That goes in turns: in each, a class is verified with one of the classes
+that it passes the filters with, so that what a turn verifies grows with the
+classes, not with their pairs, and the components that are found to be linked
+are one in the next turn.  When turns find few links more, all pairs between
+components that pass the filters are verified.  Pairs inside a component need no
+look, all others get one: no link between components is lost.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -45,6 +50,8 @@ LEADS = 3
 BLOCK = 2_048
 #: Rows of pairs looked at together.
 CHUNK = 1 << 20
+#: Turns of one partner a class go on while over one of so many pairs is a link.
+WORTH = 10
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -232,10 +239,29 @@ def _with_pivots(num: int, den: int):
     return run
 
 
-def _meet(num: int, den: int):
-    """Streams postings sorted by cell; in each cell, those that ask meet all members, and the pairs that pass come out."""
+def _one_partner(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Of rows (a, b, h), that of the largest h for each a."""
+    order = np.lexsort((b, h, a))
+    a, b, h = a[order], b[order], h[order]
+    last = np.ones(len(a), bool)
+    last[:-1] = a[1:] != a[:-1]
+    return [a[last], b[last], h[last]]
+
+
+def _meet(num: int, den: int, turn: int | None = None):
+    """Streams postings sorted by cell; in each cell, those that ask meet all members, and the pairs (a, b) that pass come out.
+
+    With a turn, a row (node, other, h) comes out for each class of such pairs:
+    the partner of which the pair's hash in this turn is largest, of the cells
+    looked at together.
+    """
     columns = ("node", "size", "pos", "component")
 
+    def partners(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        x, y = a.view(np.uint64), b.view(np.uint64)
+        h = S.mix(S.mix(np.minimum(x, y)) + np.maximum(x, y) + S.mix(np.array([turn], np.uint64))).view(np.int64)
+        return _one_partner(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([h, h]))
+
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         x = {c: t[c].to_numpy() for c in columns} | _filled(t["bins"].to_pylist())
@@ -246,7 +272,7 @@ def _meet(num: int, den: int):
         number = np.cumsum(new) - 1
         members, asking = np.flatnonzero(member), np.flatnonzero(asks)
         begin, end = (np.searchsorted(number[members], number[asking], side=s) for s in ("left", "right"))
-        found, k = [np.zeros((0, 2), np.int64)], 0
+        found, k = [np.zeros((0, 2 if turn is None else 3), np.int64)], 0
         upto = np.cumsum(end - begin)
         while k < len(asking):
             # as many askers as make a chunk of pairs; one asker at least
@@ -259,9 +285,12 @@ def _meet(num: int, den: int):
             i, j = i[other], j[other]
             ok = _passing(x, i, j, num, den)
             a, b = x["node"][i[ok]], x["node"][j[ok]]
-            found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0))
+            found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if turn is None else np.column_stack(partners(a, b)))
             k = last
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = np.concatenate(found)
+        if turn is not None:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _one_partner(*pairs.T)], names=["node", "other", "h"])
+        pairs = np.unique(pairs, axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,8 +374,8 @@ def _pivot_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _rest_pairs(tables: Tables, postings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that pass the filters at a shingle of classes in different components.
+def _cells(tables: Tables, postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings sorted by cell, for _meet(): of shingles whose classes lie in different components.
 
     A shingle's classes outside its largest component ask, and meet all of its
     classes, in blocks by hash if there are many.
@@ -362,8 +391,43 @@ def _rest_pairs(tables: Tables, postings: DataFrame, labels: DataFrame, num: int
     others = F.when(F.col("outside") & (F.col("blocks") > 1), F.filter(as_query, lambda c: c["block"] != own)).otherwise(F.filter(as_member, lambda c: F.lit(False)))
     cells = rows.withColumn("cell", F.explode(F.concat(as_member, others)))
     cells = cells.select("shingle", "cell.*", "node", "size", "pos", "component", "outside", "bins")
-    cells = cells.repartition("shingle", "block", "query").sortWithinPartitions("shingle", "block", "query")
-    return cells.mapInArrow(frugal(_meet(num, den)), "a long, b long").distinct()
+    return cells.repartition("shingle", "block", "query").sortWithinPartitions("shingle", "block", "query")
+
+
+def _merged(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links (a, b); a node without a label is a component of its own."""
+    # what is linked already is one node by now
+    of = labels.select(F.col("node").alias("n1"), F.col("component").alias("c1"))
+    joined = links.join(of, F.col("a") == F.col("n1"), "left").withColumn("a", F.coalesce("c1", "a")).select("a", "b")
+    joined = joined.join(of, F.col("b") == F.col("n1"), "left").withColumn("b", F.coalesce("c1", "b")).select("a", "b")
+    above = components(tables, joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    first = above.select(F.col("component").alias("node"), F.col("top").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return tables.write(known.unionByName(first))
+
+
+def _linked(tables: Tables, postings: DataFrame, labels: DataFrame, tried: DataFrame, docs: DataFrame, leaders: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """labels (node, component) after all links between components; of the pairs tried, they have the links.  Drops postings."""
+    for turn in itertools.count():
+        near = _cells(tables, postings, labels).mapInArrow(frugal(_meet(num, den, turn)), "node long, other long, h long")
+        picked = tables.write(near.groupBy("node").agg(F.max(F.struct("h", "other")).alias("p")).select("node", F.col("p.other").alias("other")))
+        # components only grow: a class without a partner now never gets one
+        left = small(picked.select("node"), 4_000_000)
+        before, postings = postings, tables.write(postings.join(left, "node", "left_semi"))
+        tables.drop(before)
+        if not turn:
+            # few texts take part; those are read again and again
+            wanted = small(leaders.join(left, "node", "left_semi").select("doc_id"), 4_000_000)
+            docs = tables.write(docs.join(wanted, "doc_id", "left_semi"))
+        pairs = picked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = tables.write(pairs.join(tried, ["a", "b"], "left_anti"))
+        links = tables.write(_verified(pairs, docs, leaders, n, num, den))
+        labels, tried = _merged(tables, labels, links), tried.unionByName(pairs)
+        if links.count() * WORTH <= pairs.count():
+            break
+    rest = _cells(tables, postings, labels).mapInArrow(frugal(_meet(num, den)), "a long, b long").distinct()
+    rest = tables.write(rest.join(tried, ["a", "b"], "left_anti"))
+    return _merged(tables, labels, tables.write(_verified(rest, docs, leaders, n, num, den)))
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -399,16 +463,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
         tried = tables.write(_pivot_pairs(postings, num, den))
         links = tables.write(_verified(tried, docs, leaders, n, num, den).unionByName(same))
         labels = components(tables, links)
-        rest = tables.write(_rest_pairs(tables, postings, labels, num, den).join(tried, ["a", "b"], "left_anti"))
-        tables.drop(postings, tried)
-        more = tables.write(_verified(rest, docs, leaders, n, num, den))
-        # links of components: those found first are one node by now
-        of = labels.select(F.col("node").alias("n1"), F.col("component").alias("c1"))
-        joined = more.join(of, F.col("a") == F.col("n1"), "left").withColumn("a", F.coalesce("c1", "a")).select("a", "b")
-        joined = joined.join(of, F.col("b") == F.col("n1"), "left").withColumn("b", F.coalesce("c1", "b")).select("a", "b")
-        above = components(tables, joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        named = leaders.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = named.join(above, "component", "left").select("node", "doc_id", F.coalesce("top", "component").alias("component"))
+        labels = _linked(tables, postings, labels, tried, docs, leaders, n, num, den)
+        named = leaders.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         named = named.join(least, "component").select("node", "component_id")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

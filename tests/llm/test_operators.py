@@ -186,6 +186,22 @@ def test_jaccard_links_large_groups(spark, monkeypatch):
     assert got == {d: {min(joined) if c in joined else c} for d, c in want.items()} | {900: {min(joined)}}
 
 
+def test_jaccard_verifies_pairs_in_proportion_to_classes(spark, monkeypatch):
+    """Versions of a text, with copies of each: what is rare is a version's own, so pivots link no two versions, but all of their copies are alike."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(160):
+        t = list(base)
+        t[20 * (d % 4)] = f"version{d % 4}"
+        t[100 + d // 4] = f"own{d}"
+        rows.append((d, " ".join(t)))
+    seen, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    df = spark.createDataFrame([*rows, (900, "something else")], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard.similar(df).collect()} == {d: 0 for d in range(160)} | {900: 900}
+    assert sum(seen) < 8 * len(rows), seen
+
+
 def test_mixing(spark, edge, edge_rows, nothing):
     assert mixing.mix(nothing).count() == 0
     got = mixing.mix(edge)
