@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANKS, let, lower_ascii, row_key, small, words
+from .common import BLANK, BLANKS, Tables, let, lower_ascii, row_key, small, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -88,8 +88,8 @@ def line_removals(docs: DataFrame, min_docs: int, max_percent: int, max_docs: in
     per_line = x.select("host", "line", "_doc").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     per_host = docs.select(row_key(F.col("source")).alias("host"), doc.alias("_doc")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     over = per_line.join(per_host, "host").where(_frequent(max_percent, max_docs)).select("host", "line")
-    # the keys are the most frequent ones by nature: 16 bytes a row, counted, and joined by shuffle only beyond
-    return rows.join(small(over, 1_000_000), ["host", "line"]).groupBy("_key").agg(F.sum("words").alias("n_cut"))
+    # the keys are the most frequent ones by nature: 16 bytes a row, written once, counted, and joined by shuffle only beyond
+    return rows.join(small(Tables(docs.sparkSession).write(over, keep=True), 1_000_000), ["host", "line"]).groupBy("_key").agg(F.sum("words").alias("n_cut"))
 
 
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = 10, min_left_percent: int = 30, max_docs: int = MAX_DOCS) -> DataFrame:

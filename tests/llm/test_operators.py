@@ -278,6 +278,12 @@ def test_frequent_lines_of_repeated_rows(spark):
     assert len(got) == 34 and all(r.n_cut == (10 if r.doc_id == 50 else 4) and r.kept for r in got)
 
 
+def test_frequent_lines_are_found_once(edge):
+    """The result reads the frequent lines from a table; lines are split once more only, to be looked up there."""
+    plan = quality_rules.quality_report(edge)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_decontamination(spark, edge, edge_rows, nothing):
     bench = spark.createDataFrame([(1, " ".join(edge_rows[0][1].split()[20:45])), (2, None), (3, ""), (4, "one"), (None, "Ä c"), (5, "never there at all")], "item_id long, text string")
     assert decontaminate.decontaminate(nothing, bench).count() == 0
