@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 
 from . import symbols as S
 from .common import Tables, row_key
-from .counters import frugal, pieces
+from .counters import frugal, give_back, pieces
 
 #: Labelled rows that the document classifier is fitted on, at most: those with the least hash of their doc_id.
 MAX_LABELLED = 10_000
 #: Words are hashed to so many features.
 BUCKETS = 1 << 10
+#: Labelled rows whose features the driver holds unpacked at a time; all of them count in each step.
+BLOCK = 500
 FEATURES = ("log_words", "word_length", "symbols", "upper", "digits", "bangs", "bars", "distinct", "repeats", "lines")
 _CLASSES = ("#*$%&<>@=~^", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", "|", "\n")
 #: The number of the class of each byte, from 1; 0 for none, 7 for the later bytes of a character.
@@ -86,23 +88,34 @@ def fit_documents(labelled: DataFrame, ridge: float = 3e-3) -> tuple[np.ndarray,
     rows = rows.mapInArrow(frugal(run), "doc_id long, x array<double>, has binary, quality int")
     sample = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("x", "has", "quality")).alias("r")).select("doc_id", "r.*").collect())
     raw = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
-    has = np.array([np.unpackbits(np.frombuffer(r["has"], np.uint8)) for r in sample], bool).reshape(-1, BUCKETS)
+    bits = np.frombuffer(b"".join(r["has"] for r in sample), np.uint8).reshape(-1, BUCKETS // 8)
     y = np.array([r["quality"] for r in sample], float)
+    del sample
     size = 2 * len(FEATURES) + BUCKETS + 1
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(size - 1), np.log(p / (1 - p)))
     centre, scale = raw.mean(0), raw.std(0) + 1e-9
-    word = has / np.sqrt(np.maximum(has.sum(1, keepdims=True), 1))
-    x = np.hstack([_numbers(raw, centre, scale), word, np.ones((len(raw), 1))]).astype(np.float32)
+
+    def block(at: slice) -> np.ndarray:
+        has = np.unpackbits(bits[at], axis=1)
+        word = has / np.sqrt(np.maximum(has.sum(1, keepdims=True, dtype=np.int64), 1))
+        return np.hstack([_numbers(raw[at], centre, scale), word, np.ones((len(has), 1))]).astype(np.float32)
+
     w = np.zeros(size)
     for _ in range(15):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x / len(y) + ridge * np.eye(size)
-        step = np.linalg.solve(hessian, x.T @ (p - y) / len(y) + ridge * w)
+        # all rows at once would be some 200 MB of the driver's memory
+        hessian, slope = len(y) * ridge * np.eye(size), len(y) * ridge * w
+        for k in range(0, len(y), BLOCK):
+            x = block(at := slice(k, k + BLOCK))
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            hessian += (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
+            slope += x.T @ (p - y[at])
+        step = np.linalg.solve(hessian, slope)
         w -= step
         if np.abs(step).max() < 1e-2:
             break
+    give_back()
     return centre, scale, w
 
 

@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names; and worked cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -412,6 +413,23 @@ def test_quality_model(spark, edge, edge_rows, nothing):
     assert all(r.accepted for r in rows if r.doc_id in (0, 1)) and not any(r.accepted for r in rows if r.doc_id == 10)
 
 
+def test_quality_fit_needs_little_memory_of_the_driver(spark):
+    """The driver has one block of labelled rows unpacked at a time, and the weights are the optimum of the risk over all rows."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{'bad' if i % 3 else 'w'}{rng.randrange(60)}" if rng.random() < 0.2 else f"v{rng.randrange(300)}" for _ in range(12)), int(i % 3 == 0)) for i in range(6_000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    tracemalloc.start()
+    centre, scale, w = quality_model.fit_documents(labelled)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 70e6
+    x, pairs = quality_model.evidence([t for _, t, _ in rows])
+    y, has = np.array([q for *_, q in rows], float), np.zeros((len(rows), quality_model.BUCKETS))
+    has.ravel()[pairs] = 1
+    full = np.hstack([quality_model._numbers(x, centre, scale), has / np.sqrt(has.sum(1, keepdims=True)), np.ones((len(rows), 1))])
+    assert np.abs(full.T @ (1 / (1 + np.exp(-full @ w)) - y) / len(y) + 3e-3 * w).max() < 1e-4
+
+
 def test_posteriors_against_a_plain_version(spark):
     """Posterior means of paths and hosts, each without the document's own score."""
     rng = random.Random(6)
